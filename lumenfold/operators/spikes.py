@@ -217,9 +217,9 @@ def _blocks(rows: DataFrame, st: SpikeSettings) -> DataFrame:
     counts = counts.withColumn("own", F.dense_rank().over(Window.partitionBy("key").orderBy(F.floor(F.col("s") / st.block))))
     whole = Window.partitionBy("key", "own")
     # the first and last HALO * 4 rows of a block are also the halo of the block before and after it
-    head = F.col("s") - F.min("s").over(whole) < HALO * 4
-    tail = F.max(F.col("s") + F.col("m")).over(whole) - F.col("s") - F.col("m") < HALO * 4
-    plan = counts.select("key", "cell", "own", F.explode(F.sequence(F.col("own") - head.cast("int"), F.col("own") + tail.cast("int"))).alias("part")) \
+    counts = counts.withColumn("head", (F.col("s") - F.min("s").over(whole) < HALO * 4).cast("int")) \
+        .withColumn("tail", (F.max(F.col("s") + F.col("m")).over(whole) - F.col("s") - F.col("m") < HALO * 4).cast("int"))
+    plan = counts.select("key", "cell", "own", F.explode(F.sequence(F.col("own") - F.col("head"), F.col("own") + F.col("tail"))).alias("part")) \
         .select("key", "cell", F.col("part").cast("bigint"), (F.col("part") == F.col("own")).alias("core"))
     joined = join_sized(rows, materialize(plan, "blocks"), ["key", "cell"], "left")
     return joined.drop("cell").withColumn("part", F.coalesce("part", F.lit(0))).withColumn("core", F.coalesce("core", F.lit(True)))
