@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.clusters import CellClusters
 from lumenfold.llm.diverse import tidy_kind, varied_subset
+from lumenfold.llm.garble import garbled_texts
 from lumenfold.llm.neighbors import most_similar, mutual_pairs
 from lumenfold.llm.packing import pack_documents, packing_report
 from lumenfold.llm.tokens import encode, round_trip
@@ -94,8 +95,18 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing_report(p7_packed(spark, folder), table(spark, folder, "pack_limits"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_texts(table(spark, folder, "documents"), "doc_id", "text", "source", with_text=False).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    found = garbled_texts(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return found.select("doc_id", "garbled_words", "lost_words", "chains", F.round("log_odds", 6).alias("log_odds"), "restored")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbors": p1_neighbors, "p4_found": p4_found, "p4_groups": p4_groups, "p4_clusters": p4_clusters,
     "p5_picked": p5_picked, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_packed": p7_packed, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_restored": p8_restored,
 }
 SQL: dict[str, str] = {}
