@@ -7,6 +7,8 @@ distance 1 and similarity 0.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def doubles(v: Column) -> Column:
 
 
 def lit_vector(values: list[float]) -> Column:
-    """A constant vector; it folds into the plan."""
-    return F.array(*[F.lit(float(x)) for x in values])
+    """A constant vector: one array literal of the plan."""
+    return F.lit(np.asarray(values, dtype=np.float64))
 
 
 def _pair(a: Column, b: Column, f) -> Column:
@@ -73,6 +75,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - cosine_similarity(a, b)
 
 
+def cosine_distance_to(v: Column, query: list[float]) -> Column:
+    """cosine_distance to a constant vector, whose norm is computed once."""
+    n = norm(v) * F.lit(float(np.linalg.norm(np.asarray(query, dtype=np.float64))))
+    return F.lit(1.0) - F.when(n == 0, 0.0).otherwise(dot(v, lit_vector(query)) / F.nullif(n, F.lit(0.0)))
+
+
 def negative_inner_product(a: Column, b: Column) -> Column:
     return -dot(a, b)
 
@@ -123,18 +131,38 @@ def binary_text(v: Column) -> Column:
 
 def quantize_binary(v: Column) -> Column:
     """One bit per element (1 where at least 0), first element highest, padded with zeros to whole bytes."""
-    bits = binary_text(v)
-    padded = F.rpad(bits, (F.floor((F.length(bits) + 7) / 8) * 8).cast("int"), "0")
-    hexes = F.transform(F.sequence(F.lit(1), F.floor(F.length(padded) / 4).cast("int")), lambda i: F.conv(F.substring(padded, (i - 1) * 4 + 1, F.lit(4)), 2, 16))
-    return F.unhex(F.array_join(hexes, ""))
+    def pack(col: pd.Series) -> pd.Series:
+        return _same_length(col, lambda x: np.packbits(x >= 0, axis=1))
+
+    return F.pandas_udf(pack, "binary")(doubles(v))
 
 
 def hamming_distance(a: Column, b: Column) -> Column:
     """Differing bits of two packed vectors of the same length."""
-    def words(x: Column) -> Column:
-        h = F.hex(x)
-        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.conv(F.substring(h, (i - 1) * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-
-    bad = (F.length(a) != F.length(b)) | (F.length(a) == 0)
-    count = F.aggregate(F.zip_with(words(a), words(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return F.when(bad, F.raise_error(F.lit("packed vectors differ in length or are empty")).cast("int")).otherwise(count)
+    def count(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full(len(x), None, dtype=object)
+        there = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+        p, q = x.to_numpy()[there], y.to_numpy()[there]
+        sizes = np.array([len(r) for r in p], dtype=np.int64)
+        if (sizes == 0).any() or any(len(r) != n for r, n in zip(q, sizes)):
+            raise ValueError("packed vectors differ in length or are empty")
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            bits = np.frombuffer(b"".join(p[at]), dtype=np.uint8) ^ np.frombuffer(b"".join(q[at]), dtype=np.uint8)
+            out[there[at]] = np.bitwise_count(bits.reshape(-1, n)).sum(axis=1, dtype=np.int64).tolist()
+        return pd.Series(out)
+
+    return F.pandas_udf(count, "int")(a, b)
+
+
+def _same_length(col: pd.Series, f) -> pd.Series:
+    """f over the rows stacked by length, as bytes; null stays null."""
+    out = np.full(len(col), None, dtype=object)
+    there = np.flatnonzero(col.notna().to_numpy())
+    rows = col.to_numpy()[there]
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        for k, r in zip(there[at], f(np.stack(rows[at]).reshape(len(at), n))):
+            out[k] = r.tobytes()
+    return pd.Series(out)

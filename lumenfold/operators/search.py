@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import vector as V
 
-METRICS = {"cosine": V.cosine_distance, "l2": V.l2_distance, "ip": V.negative_inner_product}
+METRICS = {"cosine": V.cosine_distance_to, "l2": lambda v, q: V.l2_distance(v, V.lit_vector(q)), "ip": lambda v, q: V.negative_inner_product(v, V.lit_vector(q))}
 
 
 def check_vectors(df: DataFrame, vec: str, dim: int, mode: str = "error") -> DataFrame:
@@ -39,7 +39,7 @@ def knn(df: DataFrame, id: str, vec: str, query: list[float], k: int, metric: st
     """(id, distance): the k rows nearest to the query."""
     if k <= 0:
         raise ValueError("k must be positive")
-    d = METRICS[metric](F.col(vec), V.lit_vector(query))
+    d = METRICS[metric](F.col(vec), query)
     d = d if penalty is None else d + penalty
     return df.select(F.col(id), d.alias("distance")).orderBy("distance", id).limit(k)
 
@@ -124,7 +124,7 @@ def mmr(df: DataFrame, id: str, vec: str, query: list[float], k: int, lam: float
     the table by the hash of their id.
     """
     m = pool or 20 * k
-    sim = V.cosine_similarity(F.col(vec), V.lit_vector(query))
+    sim = F.lit(1.0) - V.cosine_distance_to(F.col(vec), query)
     rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"), sim.alias("rel"))
     near = rows.orderBy(F.desc("rel"), "id").limit(m)
     spread = rows.orderBy(F.xxhash64("id", F.lit(97)), "id").limit(m)
