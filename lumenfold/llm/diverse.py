@@ -27,7 +27,7 @@ def tidy_kind(col: Column) -> Column:
 
 
 def farthest_first(x: np.ndarray, kind: np.ndarray, k: int, kind_weight: float, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows chosen, in order, and the distance of each to those chosen before it (inf for the first).
+    """Rows chosen, in order, and the distance of each to those chosen before it (NaN for the first).
 
     Squared distance: between the vectors, plus kind_weight^2 where the kinds differ. Ties
     go to the earliest row. Stops early when only copies of chosen rows are left.
@@ -38,7 +38,7 @@ def farthest_first(x: np.ndarray, kind: np.ndarray, k: int, kind_weight: float,
     at = first
     for _ in range(min(k, n)):
         picked.append(at)
-        radius.append(float(np.sqrt(gap[at])))
+        radius.append(float(np.sqrt(gap[at])) if picked[:-1] else np.nan)
         d = ((x - x[at]) ** 2).sum(axis=1, dtype=np.float64) + kind_weight**2 * (kind != kind[at])
         np.minimum(gap, d, out=gap)
         at = int(gap.argmax())
@@ -48,7 +48,7 @@ def farthest_first(x: np.ndarray, kind: np.ndarray, k: int, kind_weight: float,
 
 
 def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int, kind_weight: float = 0.5, fan_in: int = 64) -> DataFrame:
-    """(id, kind, rank, radius): k varied rows, rank 1 first.
+    """(id, kind, rank, radius): k varied rows, rank 1 first; radius is the distance to those before (null for the first).
 
     Rows with a null id or an unusable vector cannot be chosen; a null kind counts as a kind
     of its own; kinds are told apart without case and separators. Rows delivered twice are
@@ -84,4 +84,4 @@ def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int,
         pool = materialize(pool.repartition(parts, "id").mapInPandas(select, schema), "pool")
     last = pool.repartition(1).mapInPandas(lambda it: (reduce(p)[["id", "kind", "radius"]].assign(rank=lambda q: np.arange(1, len(q) + 1)) for p in [pd.concat(list(it) or [pd.DataFrame({"id": [], "kind": [], "vec": []})])] if len(p)),
                                            f"id {df.schema[id].dataType.simpleString()}, kind string, radius double, rank int")
-    return last.select(F.col("id").alias(id), "kind", "rank", "radius")
+    return last.select(F.col("id").alias(id), "kind", "rank", F.nanvl("radius", F.lit(None).cast("double")).alias("radius"))

@@ -329,14 +329,14 @@ def repair(text: str, reader: Reader, prior: np.ndarray, level: float = 0.5) ->
 def _learn(rows: DataFrame, model: CharModel, prior: np.ndarray) -> tuple[CharModel, np.ndarray, DataFrame]:
     """One E and M step: the next character model, corpus prior, and (key, prior) per source."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(model)
+        reader, priors = Reader(model), Priors(prior)
         sums = [np.zeros(n, dtype=np.float64) for n in (TRIGRAMS, BIGRAMS, SINGLES)]
         chains: dict[str, np.ndarray] = {}
         clean: dict[str, float] = {}
         for pdf in batches:
             for key, words, own in zip(pdf["key"], pdf["words"], pdf["prior"]):
                 words = list(words)
-                p = prior if own is None else np.asarray(own)
+                p = priors.of(key, own)
                 share, garbled, _ = reader.posterior(words, p)
                 for w in words:
                     clean[w] = clean.get(w, 0.0) + 1.0 - garbled.get(w, 0.0)
@@ -365,10 +365,34 @@ def _learn(rows: DataFrame, model: CharModel, prior: np.ndarray) -> tuple[CharMo
     for r in by_chain.groupBy("place").agg(F.sum("n").alias("n")).collect():
         total[r["place"]] += r["n"]
     corpus = total / total.sum()
-    pull = 20.0
-    each = by_chain.groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
-    prior_of = F.array(*[(F.coalesce(F.col("m")[k], F.lit(0.0)) + float(pull * corpus[k])) / (F.col("all") + pull) for k in range(len(CHAINS))])
-    return CharModel(*arrays), corpus, materialize(each.select("key", prior_of.alias("prior")), "priors")
+    # at most one entry per chain and source, and few sources have many
+    each = by_chain.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("prior"))
+    return CharModel(*arrays), corpus, materialize(each, "priors")
+
+
+#: Records that the corpus prior counts for beside a source's own.
+PULL = 20.0
+
+
+class Priors:
+    """The prior of each source: its own chain counts drawn towards the corpus; kept for the sources of a task."""
+
+    def __init__(self, corpus: np.ndarray):
+        self.corpus, self.known = corpus, {}
+
+    def of(self, key: str, counts) -> np.ndarray:
+        if counts is None:
+            return self.corpus
+        found = self.known.get(key)
+        if found is None:
+            n = np.zeros(len(CHAINS))
+            for r in counts:
+                n[r["place"]] = r["n"]
+            found = (n + PULL * self.corpus) / (n.sum() + PULL)
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[key] = found
+        return found
 
 
 def _add(sums: list[np.ndarray], clean: dict[str, float]) -> None:
@@ -399,16 +423,16 @@ def garbled_texts(df: DataFrame, id: str, text: str, source: str | None, rounds:
     words = materialize(base.mapInPandas(split, "key string, words array<string>", ), "words")
     model, prior, own = CharModel(), first_prior(), None
     for _ in range(rounds):
-        rows = words.withColumn("prior", F.lit(None).cast("array<double>")) if own is None else join_sized(words, own, ["key"], "left")
+        rows = words.withColumn("prior", F.lit(None).cast("array<struct<place:int,n:double>>")) if own is None else join_sized(words, own, ["key"], "left")
         model, prior, own = _learn(rows, model, prior)
     rows = join_sized(base, own, ["key"], "left")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(model)
+        reader, priors = Reader(model), Priors(prior)
         for pdf in batches:
             out = []
-            for ident, t, mine in zip(pdf["id"], pdf["text"], pdf["prior"]):
-                p = prior if mine is None else np.asarray(mine)
+            for ident, key, t, mine in zip(pdf["id"], pdf["key"], pdf["text"], pdf["prior"]):
+                p = priors.of(key, mine)
                 words = words_of(t)
                 _, _, odds = reader.posterior(words, p)
                 if odds <= log(level / (1 - level)):
