@@ -109,4 +109,25 @@ QUERIES = {
     "p5_picked": p5_picked, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
-SQL: dict[str, str] = {}
+
+
+def _pairs_sql(t: str, key: str, vec: str, dim: int) -> str:
+    """All pairs by brute force: fit for the small tables that queries are checked on."""
+    rows = f"""(SELECT k, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS u FROM (
+      SELECT DISTINCT {key}::VARCHAR AS k, {vec}::DOUBLE[] AS v FROM {t} WHERE {key} IS NOT NULL AND len({vec}) = {dim}
+        AND len(list_filter({vec}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({vec}, lambda x: x <> 0)) > 0))"""
+    return f"""SELECT DISTINCT '{t}' AS src, least(a, b) AS key_a, greatest(a, b) AS key_b FROM (
+      SELECT x.k AS a, y.k AS b, list_dot_product(x.u, y.u) AS s, row_number() OVER (PARTITION BY x.k ORDER BY list_dot_product(x.u, y.u) DESC, y.k) AS r
+      FROM {rows} x JOIN {rows} y ON x.k <> y.k) WHERE r <= 5 AND s >= 0.95"""
+
+
+SQL: dict[str, str] = {
+    "p1_found": " UNION ALL ".join(_pairs_sql(*t) for t in VECTOR_TABLES),
+    "p4_found": """WITH RECURSIVE pts AS (SELECT DISTINCT id, coord[1]::DOUBLE AS x, coord[2]::DOUBLE AS y, coord[3]::DOUBLE AS z FROM vbg_cells
+        WHERE id IS NOT NULL AND len(coord) = 3 AND isfinite(coord[1]) AND isfinite(coord[2]) AND isfinite(coord[3])),
+      near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id
+        AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 9),
+      reach AS (SELECT id, id AS root FROM pts UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.id WHERE n.b > r.root),
+      label AS (SELECT id, min(root) AS root_id FROM reach GROUP BY id)
+      SELECT root_id, id FROM label WHERE root_id IN (SELECT root_id FROM label GROUP BY root_id HAVING count(*) >= 5)""",
+}
