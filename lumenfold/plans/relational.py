@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators import rewrite as R
+from lumenfold.runtime import shared_dir
+from lumenfold.sources import formats
 from lumenfold.sources.tables import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
@@ -184,3 +188,33 @@ def _sessions(t: Callable[[str], DataFrame]) -> DataFrame:
 
 _frame("session_users", _sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s""")
+
+
+# ---- files and rewrites of tables
+def _round_trip(fmt: str, by: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+        path = f"{shared_dir(spark)}/lumenfold/{fmt}-{uuid.uuid4().hex}"
+        formats.write(df, path, fmt, by)
+        return formats.read(spark, path, df.schema, fmt).where("c_nationkey = 3")
+
+    return run
+
+
+for _fmt in formats.FORMATS:
+    QUERIES[f"io_{_fmt}"] = _round_trip(_fmt)
+    SQL[f"io_{_fmt}"] = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 3"
+QUERIES["io_partitioned"], SQL["io_partitioned"] = _round_trip("parquet", ["c_nationkey"]), SQL["io_parquet"]
+
+
+def _changed(t: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as the target; customers' keys and balances as the incoming rows."""
+    return (t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")))
+
+
+_OLD, _NEW = "(SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)", "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
+_frame("insert_conflict_nothing", lambda t: R.insert_new(*_changed(t), ["k"]), f"SELECT k, v FROM {_OLD} UNION ALL SELECT k, v FROM {_NEW} n WHERE NOT EXISTS (SELECT 1 FROM {_OLD} o WHERE o.k = n.k)")
+_frame("upsert", lambda t: R.upsert(*_changed(t), ["k"]), f"SELECT k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v FROM {_OLD} o FULL JOIN {_NEW} n USING (k)")
+_frame("upsert_guarded", lambda t: R.upsert(*_changed(t), ["k"], F.col("new_v") > F.col("v")), f"SELECT k, CASE WHEN o.k IS NULL OR n.v > o.v THEN n.v ELSE o.v END AS v FROM {_OLD} o FULL JOIN {_NEW} n USING (k)")
+_frame("update_where", lambda t: R.update_where(_changed(t)[0], F.col("v") < 0, v=F.lit(0.0)), f"SELECT k, CASE WHEN v < 0 THEN 0.0::DOUBLE ELSE v END AS v FROM {_OLD}")
+_frame("delete_where", lambda t: R.delete_where(_changed(t)[0], F.col("v") < 0), f"SELECT k, v FROM {_OLD} WHERE NOT (v < 0)")
