@@ -47,7 +47,7 @@ def farthest_first(x: np.ndarray, kind: np.ndarray, k: int, kind_weight: float,
     return np.array(picked, dtype=np.int64), np.array(radius)
 
 
-def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int, kind_weight: float = 0.5, fan_in: int = 64) -> DataFrame:
+def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int, kind_weight: float = 1.0, fan_in: int = 64, oversample: int = 2) -> DataFrame:
     """(id, kind, rank, radius): k varied rows, rank 1 first; radius is the distance to those before (null for the first).
 
     Rows with a null id or an unusable vector cannot be chosen; a null kind counts as a kind
@@ -58,6 +58,7 @@ def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int,
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), tidy_kind(F.col(kind)).alias("kind"), F.col(vec).cast("array<float>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec"), dim))
+    kept = k * oversample  # what a task keeps: more than k brings the pooled choice close to one over all rows
     schema = f"id {df.schema[id].dataType.simpleString()}, kind string, vec array<float>, radius double"
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,12 +66,12 @@ def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int,
         for pdf in batches:
             pdf = pdf[["id", "kind", "vec"]]
             held = pdf if held is None else pd.concat([held, pdf])
-            if len(held) > 8 * k + 20_000:
-                held = reduce(held)
+            if len(held) > 8 * kept + 20_000:
+                held = reduce(held, kept)
         if held is not None and len(held):
-            yield reduce(held)
+            yield reduce(held, kept)
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         at, radius = farthest_first(matrix(pdf["vec"], dim), pdf["kind"].to_numpy(), k, kind_weight, 0)
         return pdf.iloc[at].assign(radius=radius)
@@ -78,10 +79,10 @@ def varied_subset(df: DataFrame, id: str, vec: str, kind: str, dim: int, k: int,
     if k <= 0:
         return rows.limit(0).select(F.col("id").alias(id), "kind", F.lit(0).alias("rank"), F.lit(0.0).alias("radius"))
     pool = materialize(rows.mapInPandas(select, schema), "pool")
-    parts = pool.count() // max(k, 1) + 1
+    parts = pool.count() // kept + 1
     while parts > fan_in:
         parts = -(-parts // fan_in)
         pool = materialize(pool.repartition(parts, "id").mapInPandas(select, schema), "pool")
-    last = pool.repartition(1).mapInPandas(lambda it: (reduce(p)[["id", "kind", "radius"]].assign(rank=lambda q: np.arange(1, len(q) + 1)) for p in [pd.concat(list(it) or [pd.DataFrame({"id": [], "kind": [], "vec": []})])] if len(p)),
+    last = pool.repartition(1).mapInPandas(lambda it: (reduce(p, k)[["id", "kind", "radius"]].assign(rank=lambda q: np.arange(1, len(q) + 1)) for p in [pd.concat(list(it) or [pd.DataFrame({"id": [], "kind": [], "vec": []})])] if len(p)),
                                            f"id {df.schema[id].dataType.simpleString()}, kind string, radius double, rank int")
     return last.select(F.col("id").alias(id), "kind", "rank", F.nanvl("radius", F.lit(None).cast("double")).alias("radius"))
