@@ -213,3 +213,21 @@ SQL = {
         SELECT vec_id, printf('%04x', sum(CASE WHEN s >= 0 THEN pow(2, 15 - b)::BIGINT ELSE 0 END)::BIGINT) AS bits FROM pr GROUP BY vec_id""",
     "subset_allocation": """SELECT round(0.5 * sum(s_acctbal), 6) AS score FROM (SELECT s_acctbal FROM supplier ORDER BY s_acctbal DESC LIMIT 2)""",
 }
+_CHANGE = """bd AS (SELECT a.event_type, a.i AS b, avg(p.x) AS m1, avg(q.x) AS m2, var_pop(p.x) AS v1, var_pop(q.x) AS v2 FROM {rows} a
+  JOIN {rows} p ON p.event_type = a.event_type AND p.i >= a.i - {w} AND p.i < a.i JOIN {rows} q ON q.event_type = a.event_type AND q.i >= a.i AND q.i < a.i + {w}
+  WHERE a.i >= {w} AND a.i <= a.n - {w} GROUP BY a.event_type, a.i),
+fl AS (SELECT *, abs(m2 - m1) AS gap, abs(m2 - m1) > {thr} * sqrt((v1 + v2) / 2) AS by_mean, greatest(v1, v2) > {thr} * {thr} * least(v1, v2) AS by_var FROM bd),
+runs AS (SELECT *, b - row_number() OVER (PARTITION BY event_type ORDER BY b) AS run FROM fl WHERE by_mean OR by_var),
+best AS (SELECT *, bool_or(by_mean) OVER r AS any_mean, ln(greatest(v1, v2, 1e-300)) - ln(greatest(least(v1, v2), 1e-300)) AS ratio FROM runs WINDOW r AS (PARTITION BY event_type, run)),
+pick AS (SELECT event_type, b, row_number() OVER (PARTITION BY event_type, run ORDER BY CASE WHEN any_mean THEN (CASE WHEN by_mean THEN gap ELSE -1 END) ELSE ratio END DESC, b) AS rn FROM best)
+SELECT event_type, b::INT AS boundary FROM pick WHERE rn = 1"""
+SQL["change_points"] = f"{HOURLY}, " + _CHANGE.format(rows="s", w=24, thr=1.0)
+SQL["morphological_complexity"] = f"SELECT event_type, dimension, lacunarity FROM ({SQL['boxcount_by_event_type']}) JOIN ({SQL['lacunarity']}) USING (event_type)"
+
+
+def drift_sql(window: int, kind: str) -> str:
+    """One row (alpha of all, recent_alpha, baseline_alpha) of one event type, as CTE text ending in a SELECT."""
+    return f"""{HOURLY}, one AS (SELECT * FROM s WHERE event_type = '{kind}'),
+        recent AS (SELECT event_type, i - (n - {window}) AS i, x, {window} AS n FROM one WHERE i >= n - {window}), old AS (SELECT event_type, i, x, n - {window} AS n FROM one WHERE i < n - {window}),
+        {_dfa_sql('one', 'w')}, {_dfa_sql('recent', 'r')}, {_dfa_sql('old', 'o')}
+        SELECT w.alpha, r.alpha AS recent_alpha, o.alpha AS baseline_alpha FROM alpha_w w JOIN alpha_r r USING (event_type) JOIN alpha_o o USING (event_type)"""

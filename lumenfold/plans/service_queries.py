@@ -13,8 +13,9 @@ from lumenfold.operators import ledger as L
 from lumenfold.operators import text_to_sql as T
 from lumenfold.plans.relational import SQL as RELATIONAL_SQL
 from lumenfold.plans.relational import views
-from lumenfold.plans.series_queries import hourly
-from lumenfold.plans.vector_queries import COS, WITH_Q, embeddings, query_vector
+from lumenfold.plans.series_queries import SQL as SERIES_SQL
+from lumenfold.plans.series_queries import drift_sql, hourly
+from lumenfold.plans.vector_queries import COS, L2, WITH_Q, embeddings, query_vector
 from lumenfold.runtime import shared_dir
 from lumenfold.session import Session
 from lumenfold.sources.tables import table
@@ -218,7 +219,7 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    return E.run_to_table(spark, E.sliding_means(_event_stream(spark, folder), "ts", "value", late="40 days"), _name(), "complete").select(F.unix_seconds("start").alias("start"), F.round("mean", 4).alias("mean"))
+    return E.run_to_table(spark, E.sliding_means(_event_stream(spark, folder).withColumn("cents", F.round(F.col("value") * 100).cast("bigint")), "ts", "cents", late="40 days"), _name(), "complete").select(F.unix_seconds("start").alias("start"), F.round("mean", 4).alias("mean"))
 
 
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,3 +269,30 @@ SQL = {
     "stream_dedup": "SELECT event_id, event_type FROM events",
 }
 SQL["stream_sessions"] = RELATIONAL_SQL["session_users"]
+
+
+def _toward(a: str, b: str) -> str:
+    """The nearest row (vec_id, d) to the direction from row a to row b, as a subquery."""
+    return f"""(WITH q AS (SELECT list_transform(list_zip(y.embedding::DOUBLE[], x.embedding::DOUBLE[]), lambda z: z[1] - z[2]) AS q FROM embeddings x, embeddings y WHERE x.vec_id = {a} AND y.vec_id = {b}),
+      e AS (SELECT vec_id, embedding::DOUBLE[] AS e, q FROM embeddings, q) SELECT vec_id, {COS} AS d FROM e ORDER BY d, vec_id LIMIT 1)"""
+
+
+_DIM = f"(SELECT dimension FROM ({SERIES_SQL['boxcount_by_event_type']}) WHERE event_type = 'signup')"
+_LAC = f"(SELECT lacunarity FROM ({SERIES_SQL['lacunarity']}) WHERE event_type = 'signup')"
+_FIVE = """SELECT round(1 - avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS diversity_quotient
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 5) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 5) b ON a.vec_id < b.vec_id"""
+SQL |= {
+    "diversify_dq": _FIVE, "agent_feedback_audit": _FIVE,
+    "agent_outlier_intercept": _near(4, L2) + " SELECT d < 0.1 AS intercepted, vec_id AS nearest_id, 'l2' AS metric, round(d, 6) AS distance FROM r",
+    "agent_trajectory_predict": f"""SELECT (SELECT max(vec_id) FROM embeddings) AS latest_id, vec_id AS predicted_id, round(d, 6) AS projected_drift_delta, d > 0.5 AS risk_threshold_exceeded
+      FROM {_toward('0', '(SELECT max(vec_id) FROM embeddings)')}""",
+    "agent_anomaly_triage": f"""SELECT 'vector_drift' AS anomaly_type, round(baseline_alpha, 6) AS baseline_alpha, round(recent_alpha, 6) AS recent_alpha, round(recent_alpha - baseline_alpha, 6) AS drift,
+      round(abs(recent_alpha - baseline_alpha), 6) AS threat_score FROM ({drift_sql(128, 'error')})""",
+    "agent_regime_triage": f"""SELECT round(alpha, 6) AS dfa_exponent, abs(recent_alpha - baseline_alpha) > 0.5 AS drift_detected, round(recent_alpha, 6) AS recent_alpha, round(baseline_alpha, 6) AS baseline_alpha
+      FROM ({drift_sql(64, 'signup')})""",
+    "agent_track_anomaly": f"SELECT n.vec_id AS nearest_id, round(n.d, 6) AS trajectory_distance, round(a.alpha, 6) AS dfa_exponent FROM {_toward('0', '1')} n, ({drift_sql(64, 'signup')}) a",
+    "agent_detour_classify": f"SELECT vec_id AS nearest_fleet_id, round(d, 6) AS trajectory_distance, {_DIM} AS trace_complexity FROM {_toward('0', '1')}",
+    "agent_network_coverage_alert": f"SELECT {_DIM} AS morph_dimension, {_LAC} AS lacunarity, abs(recent_alpha - baseline_alpha) > 0.5 AS drift_detected FROM ({drift_sql(48, 'signup')})",
+    "t2s_validator_matrix": "SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(q.replace("'", "''"), str(k < 3).lower()) for k, q in enumerate(T2S_CASES)) + ") t(sql, accepted)",
+    "stream_sliding": RELATIONAL_SQL["sliding_avg"],
+}
