@@ -199,13 +199,13 @@ def find_faults(value: np.ndarray, segment: np.ndarray, limits: Limits, st: Spik
 
 # ---- plan ------------------------------------------------------------------------------
 
-def _blocks(rows: DataFrame, st: SpikeSettings) -> DataFrame:
+def _blocks(rows: DataFrame, sources: DataFrame, st: SpikeSettings) -> DataFrame:
     """rows (key, ord, ..) with part: the block, and core: whether the row is the block's own or its halo's.
 
     Sources of at most `block` rows are one block. Longer ones are cut by counts of equal
     stretches of their order; only those counts are sorted, not the rows.
     """
-    spans = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).where(F.col("n") > st.block), "spans")
+    spans = sources.where(F.col("n") > st.block)
     if spans.isEmpty():
         return rows.select("*", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("core"))
     cells = F.greatest(F.lit(1), F.ceil(F.col("n") / 256)).cast("bigint")
@@ -236,8 +236,10 @@ def score_readings(df: DataFrame, id: str, source: Column, order: Column, fields
     spark = df.sparkSession
     base = df.select(F.col(id).alias("id"), tidy_key(source).alias("key"), order.cast("double").alias("ord"),
                      *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(fields)])
-    rows = _blocks(base.where("key is not null and ord is not null"), st)
-    total = base.count()
+    known = base.where("key is not null and ord is not null")
+    sources = materialize(known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")), "sources")
+    total = sources.agg(F.sum("n")).head()[0] or 0
+    rows = _blocks(known, sources, st)
     bundles = max(spark.sparkContext.defaultParallelism, -(-total // st.bundle))
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("key", "part"), F.lit(bundles)))
     names, count, bounds = list(fields), len(fields), [st.limits.get(c, Limits(-np.inf, np.inf, True, True)) for c in fields]
@@ -263,13 +265,13 @@ def score_readings(df: DataFrame, id: str, source: Column, order: Column, fields
     schema = f"id {df.schema[id].dataType.simpleString()}, field string, value double, score double, fault boolean"
     for k in range(count):
         rows = rows.withColumn(f"z{k}", F.col(f"v{k}").isNull())
-    known = rows.groupBy("bundle").applyInPandas(judge, schema)
-    stray = None
+    scored = rows.groupBy("bundle").applyInPandas(judge, schema)
+    verdicts = []
     for k, c in enumerate(fields):
         b, v = bounds[k], F.col(f"v{k}")
         fine = (v > b.low if b.open_low else v >= b.low) & (v < b.high if b.open_high else v <= b.high) & ~F.isnan(v)
-        one = base.where(f"(key is null or ord is null) and v{k} is not null").select("id", F.lit(c).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("score"), (~fine).alias("fault"))
-        stray = one if stray is None else stray.unionByName(one)
+        verdicts.append(F.struct(F.lit(c).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("score"), (~fine).alias("fault")))
+    stray = base.where("key is null or ord is null").select("id", F.explode(F.array(*verdicts)).alias("r")).select("id", "r.*").where("value is not null")
     stray = (stray.where("fault") if faults_only else stray).dropDuplicates(["id", "field"])
-    out = known.unionByName(stray)
+    out = scored.unionByName(stray)
     return out.where("fault") if faults_only else out
