@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vector as V
+from lumenfold.runtime import materialize
 
 METRICS = {"cosine": V.cosine_distance_to, "l2": lambda v, q: V.l2_distance(v, V.lit_vector(q)), "ip": lambda v, q: V.negative_inner_product(v, V.lit_vector(q))}
 
@@ -64,7 +65,8 @@ def cross_modal_knn(df: DataFrame, id: str, vec: str, first: list[float], second
 
 def with_scan_position(df: DataFrame, id: str) -> DataFrame:
     """scan_pos: the 0-based place of every row in the order of ids, from counts per range of ids, not from one sorted task."""
-    ordered = df.repartitionByRange(id).sortWithinPartitions(id).withColumn("_m", F.monotonically_increasing_id())
+    # written once: range bounds come from a sample and need not be the same a second time
+    ordered = materialize(df.repartitionByRange(id).sortWithinPartitions(id).withColumn("_m", F.monotonically_increasing_id()), "ordered")
     base = F.shiftright("_m", 33)
     counts = ordered.groupBy(base.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
