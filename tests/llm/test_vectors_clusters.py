@@ -51,6 +51,16 @@ def test_sharded_search_recall(spark, crowd):
     assert np.mean([(k, int(j)) in found for k in range(len(x)) for j in want[k]]) > 0.93
 
 
+def test_probes_grow_with_the_shards(spark):
+    # about 40 shards without any structure: the 3 nearest hold well below 0.9 of the neighbours
+    x = np.random.default_rng(6).normal(size=(4000, 16)).astype(np.float32).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "v": x.tolist()}))
+    got = most_similar(df, "id", "v", 16, 5, target=100, most=200).toPandas()
+    want = exact(x, 5)
+    found = {(int(a), int(b)) for a, b in zip(got["key"], got["neighbor"])}
+    assert np.mean([(k, int(j)) in found for k in range(0, len(x), 50) for j in want[k]]) >= 0.9
+
+
 def test_neighbours_edge_cases(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], None), (3, [1.0, 0.0], ""), (4, [1.0, 0.1], "y"), (5, None, "y"), (6, [nan, 1.0], "y"), (7, [0.0, 0.0], "y"), (8, [1.0], "y"), (None, [1.0, 0.0], "y"), (9, [-1.0, 0.0], "y")]
