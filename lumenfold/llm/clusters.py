@@ -64,7 +64,9 @@ def _link(step: float):
         cubes, count = node[first], np.diff(np.r_[first, len(node)])
         core = pdf["core"].to_numpy()[first]
         complete = np.add.reduceat(pdf["m"].to_numpy(np.int64), first) == count
-        low, high = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
+        # of all points of a cube, not of its representatives only
+        low = np.minimum.reduceat(pdf[["lx", "ly", "lz"]].to_numpy(np.float64), first)
+        high = np.maximum.reduceat(pdf[["hx", "hy", "hz"]].to_numpy(np.float64), first)
         # one representative near the middle of each cube decides most pairs
         cube = np.stack([(cubes >> 42) - OFFSET, ((cubes >> 21) & (2 * OFFSET - 1)) - OFFSET, (cubes & (2 * OFFSET - 1)) - OFFSET], axis=1)
         off = ((p - np.repeat((cube + 0.5) * side, count, axis=0)) ** 2).sum(axis=1)
@@ -102,8 +104,10 @@ def cube_links(points: DataFrame, step: float) -> DataFrame:
     side = step / np.sqrt(3.0)
     sub = [F.least(F.lit(SUB - 1), F.floor((F.col(c) / side - F.col(f"c{c}")) * SUB)).cast("int").alias(f"s{c}") for c in "xyz"]
     reps = points.select("*", *sub).groupBy("node", "cx", "cy", "cz", "sx", "sy", "sz").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "x", "y", "z")).alias("p"))
-    reps = reps.select("node", "cx", "cy", "cz", "m", "p.id", "p.x", "p.y", "p.z")
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "x", "y", "z")).alias("p"),
+        *[F.min(c).alias(f"l{c}") for c in "xyz"], *[F.max(c).alias(f"h{c}") for c in "xyz"])
+    box = [f"{e}{c}" for e in "lh" for c in "xyz"]
+    reps = reps.select("node", "cx", "cy", "cz", "m", "p.id", "p.x", "p.y", "p.z", *box)
     blocks = reps
     for c in "xyz":
         lo, hi = F.floor((F.col(f"c{c}") - 2) / BLOCK), F.floor((F.col(f"c{c}") + 2) / BLOCK)
@@ -111,7 +115,7 @@ def cube_links(points: DataFrame, step: float) -> DataFrame:
     home = F.lit(True)
     for c in "xyz":
         home = home & (F.floor(F.col(f"c{c}") / BLOCK) == F.col(f"b{c}"))
-    blocks = blocks.select("bx", "by", "bz", "node", "id", "x", "y", "z", "m", home.alias("core"))
+    blocks = blocks.select("bx", "by", "bz", "node", "id", "x", "y", "z", "m", *box, home.alias("core"))
     return blocks.groupBy("bx", "by", "bz").applyInPandas(_link(step), "a bigint, b bigint, sure boolean").distinct()
 
 
@@ -178,7 +182,8 @@ def decide(points: DataFrame, pairs: DataFrame, step: float, block: int = 4096)
     def side(own: str, other: str, ko: str) -> DataFrame:
         mine = "i" if own == "a" else "j"
         theirs = "j" if own == "a" else "i"
-        q = points.select(F.col("node").alias(own), "id", "x", "y", "z").join(p, own)
+        # new columns on either side: cogroup cannot tell apart those of one table
+        q = points.select(F.col("node").alias(own), "id", *[F.col(c).alias(c) for c in "xyz"]).join(p, own)
         return q.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("k" + own))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(ko) - 1))).select("a", "b", "i", "j", "x", "y", "z")
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -159,3 +159,11 @@ def test_subset_edge_cases(spark):
     got = varied_subset(df, "id", "v", "kind", 2, 10).collect()
     assert sorted(r.id for r in got) == [1, 2] and {r.kind for r in got} == {"", "a-b"}
     assert varied_subset(df, "id", "v", "kind", 2, 0).count() == 0 and varied_subset(df.limit(0), "id", "v", "kind", 2, 5).count() == 0
+
+
+def test_cubes_whose_representatives_lie_far_apart_are_still_compared(spark):
+    # the smallest ids of the two cubes are 3.45 apart along x, their other points 2.62
+    p = np.array([[0.87, 0.1, 0.1], [4.32, 0.1, 0.1], [1.29, 0.1, 0.1], [3.91, 0.1, 0.1], [1.28, 0.1, 0.1], [3.92, 0.1, 0.1]])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(p)), "c": p.tolist()}))
+    assert len(brute_groups(p, 3.0, 5)) == 6
+    assert {(r.root_id, r.id) for r in C.CellClusters(df, "id", "c").groups().collect()} == brute_groups(p, 3.0, 5)
