@@ -7,9 +7,10 @@ one block. Blocks are bundled, and each bundle is scored in one call with arrays
 Of each block and field a forest is grown on four features of every reading: level
 (distance from the readings around it in units of the block's usual scatter), difference
 to its neighbours, seasonal residual (against one period before and after) and length of
-the run of equal values. Every reading gets a score. Readings scored at least `threshold`
-(and their next neighbours) are then held against the definition: a burst of at most three
-readings that leaves a level which is resumed afterwards, or a run of `stuck` equal values.
+the run of equal values. Every reading gets a score. Whatever the score, every run of
+`stuck` equal values is a fault; and readings scored at least `threshold` (and their next
+neighbours), as well as all that follow a step large enough to begin one, are held against
+the definition of a burst: at most three readings that leave a level which is resumed afterwards.
 Readings outside the physical limits are faults by rule.
 """
 
@@ -186,11 +187,15 @@ def find_faults(value: np.ndarray, segment: np.ndarray, limits: Limits, st: Spik
     scores = isolation.score(forest, f, segment)
     candidate = (scores >= st.threshold) | (sizes[segment] < 2 * st.sample) | exhaustive
     stuck = np.zeros(n, dtype=bool)
-    stuck[first[candidate & (run >= st.stuck)]] = True
+    stuck[first[run >= st.stuck]] = True
     near = candidate.copy()
     for k in (1, 2):
         near[k:] |= candidate[:-k]
         near[:-k] |= candidate[k:]
+    # a burst begins with a step of at least 0.4 times its height, so no other reading can lie in one
+    step = np.abs(x - _shifted(x, segment, -1))
+    step = np.fmax(step, np.fmax(_shifted(step, segment, -1), _shifted(step, segment, -2)))
+    near |= step >= 0.399 * st.bound * s
     at = np.flatnonzero(near & ~bad)
     fault = bad | stuck[first]
     fault[at] |= _bursts(x, s, segment, at, st.bound)

@@ -36,6 +36,22 @@ def test_faults_are_found_and_nothing_else(seed):
     assert set(np.flatnonzero(fault)) == bad
 
 
+@pytest.mark.parametrize("n", [127, 128, 5000])
+def test_a_constant_source_is_stuck_whatever_its_length(n):
+    _, fault = find_faults(np.full(n, 3.5), np.zeros(n, dtype=np.int64), ST.limits["v"], ST)
+    assert fault.all()
+
+
+def test_many_faults_do_not_mask_each_other():
+    rng = np.random.default_rng(3)
+    x = 10 + rng.normal(0, 0.1, 4000)
+    x[10::12] += 4.0  # every twelfth reading is a burst
+    x[2000:2600] = 10.0
+    seg = np.zeros(len(x), dtype=np.int64)
+    a, b = find_faults(x, seg, ST.limits["v"], ST)[1], find_faults(x, seg, ST.limits["v"], ST, exhaustive=True)[1]
+    assert a[2000:2600].all() and b.sum() > 800 and (a == b).all()
+
+
 def test_forest_misses_nothing_that_an_exhaustive_check_finds():
     xs, segs = zip(*[(readings(s)[0], np.full(900, s)) for s in range(6)])
     x, seg = np.concatenate(xs), np.concatenate(segs)
