@@ -121,35 +121,67 @@ def mmr(df: DataFrame, id: str, vec: str, query: list[float], k: int, lam: float
     """(id, rank, relevance): k rows picked one by one for relevance to the query and distance from those picked.
 
     Each pick is the row with the greatest lam * similarity - (1 - lam) * greatest
-    similarity to a pick, ties by id. The choice is made among the `pool` (20 k) most
-    relevant rows and, so that it can leave a dense neighbourhood, as many rows spread over
-    the table by the hash of their id.
+    similarity to a pick, ties by id. Rows without a vector are never picked; of rows with
+    the same id at most one is.
+
+    The choice is made among all rows. From the second pick on no row's score can rise, so
+    a pass over the table that keeps the `pool` (20 k) rows of the greatest scores also
+    bounds those of all others: picks are made among the kept rows as long as the best is
+    above that bound, and then the next pass follows. Passes run when this is called.
     """
-    m = pool or 20 * k
+    m = max(1, pool or 20 * k)
     sim = F.lit(1.0) - V.cosine_distance_to(F.col(vec), query)
-    rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"), sim.alias("rel"))
-    near = rows.orderBy(F.desc("rel"), "id").limit(m)
-    spread = rows.orderBy(F.xxhash64("id", F.lit(97)), "id").limit(m)
-    pooled = near.unionByName(spread).dropDuplicates(["id"])
+    kind = df.schema[id].dataType.simpleString()
+    schema = f"id {kind}, v array<double>, rel double, score double"
+    rows = materialize(df.where(F.col(vec).isNotNull()).select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"), sim.alias("rel")), "mmr")
 
-    def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(it) or [pd.DataFrame({"id": [], "v": [], "rel": []})]).sort_values("id").reset_index(drop=True)
-        if not len(pdf):
-            return
-        x = np.stack(pdf["v"].to_numpy())
+    def units(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.to_numpy())
         n = np.linalg.norm(x, axis=1)
-        x = x / np.where(n > 0, n, 1)[:, None]
-        rel, worst, free, order = pdf["rel"].to_numpy(), np.zeros(len(x)), np.ones(len(x), dtype=bool), []
-        for _ in range(min(k, len(x))):
-            s = np.where(free, np.round(lam * rel - (1 - lam) * worst, 12), -np.inf)
-            at = int(s.argmax())
-            order.append(at)
-            free[at] = False
-            worst = np.maximum(worst if len(order) > 1 else -1.0, x @ x[at])
-        yield pd.DataFrame({"id": pdf["id"].to_numpy()[order], "rank": np.arange(1, len(order) + 1), "relevance": rel[order]})
-
-    out = pooled.coalesce(1).mapInPandas(pick, f"id {df.schema[id].dataType.simpleString()}, rank int, relevance double")
-    return out.withColumnRenamed("id", id)
+        return x / np.where(n > 0, n, 1)[:, None]
+
+    picks, relevance, seen = [], [], np.empty((0, len(query)))
+
+    def scores(rel: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        return np.round(lam * rel - (1 - lam) * worst, 12)
+
+    def best(most: int) -> pd.DataFrame:
+        """The `most` rows of the greatest scores given the picks so far, greatest first."""
+        def run(it: Iterator[pd.DataFrame], seen: np.ndarray = seen, taken: frozenset = frozenset(picks)) -> Iterator[pd.DataFrame]:
+            kept = None
+            for pdf in it:
+                pdf = pdf[~pdf["id"].isin(taken)]
+                if len(pdf):
+                    worst = (units(pdf["v"]) @ seen.T).max(axis=1) if len(seen) else np.zeros(len(pdf))
+                    pdf = pdf.assign(score=scores(pdf["rel"].to_numpy(), worst))
+                    kept = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(["score", "id"], ascending=[False, True]).head(most)
+            if kept is not None:
+                yield kept
+
+        return rows.mapInPandas(run, schema).orderBy(F.desc("score"), "id").limit(most).toPandas()
+
+    while len(picks) < k:
+        most = m if picks else 1  # similarities to the first pick may be negative, so bounds hold only after it
+        pdf = best(most)
+        if not len(pdf):
+            break
+        bound = pdf["score"].iloc[-1] if len(pdf) == most else -np.inf
+        pdf = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
+        x, rel = units(pdf["v"]), pdf["rel"].to_numpy()
+        s, free, first = pdf["score"].to_numpy().copy(), np.ones(len(pdf), dtype=bool), True
+        worst = (x @ seen.T).max(axis=1) if len(seen) else np.full(len(x), -1.0)
+        while len(picks) < k and free.any():
+            at = int(np.where(free, s, -np.inf).argmax())
+            if not first and not s[at] > bound:
+                break
+            first, free[at] = False, False
+            picks.append(pdf["id"].iloc[at])
+            relevance.append(float(rel[at]))
+            seen = np.vstack([seen, x[at]])
+            worst = np.maximum(worst, x @ x[at])
+            s = scores(rel, worst)
+    found = [(p.item() if hasattr(p, "item") else p, r, s) for r, (p, s) in enumerate(zip(picks, relevance), 1)]
+    return df.sparkSession.createDataFrame(found, f"id {kind}, rank int, relevance double").withColumnRenamed("id", id)
 
 
 def fetch_rows(df: DataFrame, id: str, hits: DataFrame, drop: list[str]) -> DataFrame:

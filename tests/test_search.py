@@ -52,6 +52,23 @@ def test_mmr_spreads(spark):
     assert len(S.mmr(df, "id", "v", centres[0].tolist(), 500, 0.5).collect()) == 160
 
 
+@pytest.mark.parametrize("lam", [0.2, 0.5])
+def test_mmr_chooses_among_all_rows(spark, lam):
+    rng = np.random.default_rng(4)
+    # a crowd around the query, and few rows elsewhere that a small pool would not hold
+    x = np.vstack([np.array([1.0, 0, 0, 0, 0, 0]) + rng.normal(0, 0.05, (600, 6)), rng.normal(size=(40, 6))])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "v": x.tolist()}))
+    q = [1.0, 0, 0, 0, 0, 0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rel, worst, want = u @ np.array(q), np.zeros(len(x)), []
+    for _ in range(12):
+        s = np.round(lam * rel - (1 - lam) * worst, 12)
+        s[want] = -np.inf
+        want.append(int(s.argmax()))
+        worst = (u @ u[want].T).max(axis=1)
+    assert [r.id for r in S.mmr(df, "id", "v", q, 12, lam, 20).orderBy("rank").collect()] == want
+
+
 def test_scan_position(cloud):
     _, df = cloud
     got = S.with_scan_position(df.where("g = 1"), "id").orderBy("id").collect()
