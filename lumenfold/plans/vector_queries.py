@@ -166,7 +166,7 @@ def scout_label_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_debug(spark: SparkSession, folder: str) -> DataFrame:
-    one = embeddings(spark, folder).where("vec_id % 50 = 0").select("vec_id", E().cast("array<double>").alias("v"))
+    one = embeddings(spark, folder).select("vec_id", E().cast("array<double>").alias("v"))
     r = U.array_function("search_debug")(F.col("v"), F.lit(20), F.lit(30))
     return one.select("vec_id", r.alias("r")).select("vec_id", "r.dim", "r.generations", "r.population_size", F.round("r.best_fit", 6).alias("best_fit"))
 

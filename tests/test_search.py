@@ -93,3 +93,9 @@ def test_repulsion_moves_shown_rows_back(cloud):
     first = S.knn(df, "id", "v", x[7].tolist(), 1).head().id
     again = S.knn(df, "id", "v", x[7].tolist(), 1, penalty=S.repulsion("v", [x[first].tolist()], 0.3, 5.0)).head().id
     assert first == 7 and again != 7
+
+
+def test_search_debug_has_a_row_for_every_embedding(spark, small):
+    from lumenfold.plans.vector_queries import embeddings, search_debug
+
+    assert search_debug(spark, small).count() == embeddings(spark, small).count()
