@@ -239,7 +239,7 @@ def cortical_folding(verts, faces) -> dict:
 
 
 def persistence(points, dim: int, max_dim: int, threshold: float, max_bars: int = 64) -> dict:
-    """Deaths of connected components up to `threshold` (edges of the least spanning tree) and the cycle rank of the graph there."""
+    """Deaths of connected components up to `threshold` (edges of the least spanning tree) and the cycle rank of the graph there; more than 512 points are an error, which array functions turn into null."""
     p = _points(points, dim, 2)
     if len(p) > 512 or max_dim not in (0, 1) or threshold <= 0:
         raise ValueError("at most 512 points, max_dim 0 or 1, a positive threshold")

@@ -99,7 +99,7 @@ def detect_loop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tda_h0_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Component deaths and cycle rank of the first two coordinates of each label's vectors."""
+    """Component deaths and cycle rank of the first two coordinates of each label's vectors; null for labels of more than 512 vectors."""
     xy = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")))), lambda p: F.array(p["x"], p["y"])))
     r = U.array_function("tda_persistence_diagram")(F.col("xy"), F.lit(2), F.lit(1), F.lit(0.1), F.lit(512))
     return embeddings(spark, folder).groupBy("label").agg(xy.alias("xy")).select("label", r.alias("r")).select("label", "r.n_h0_bars", "r.betti1", F.round(F.element_at("r.h0_bars", -1), 6).alias("last_death"))
