@@ -32,7 +32,11 @@ _HALF = np.array([(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in
 
 
 def usable_points(df: DataFrame, id: str, coord: str) -> DataFrame:
-    """(id, x, y, z) of the rows with an id and three finite coordinates, each id once."""
+    """(id, x, y, z) of the rows with an id and three coordinates within 1e9, each id once.
+
+    Cube keys have 21 bits an axis: they are unique only within about 1 million cubes on
+    either side of 0, which is 1.8 million units at a step of 3.
+    """
     c = F.col(coord).cast("array<double>")
     ok = F.coalesce((F.size(c) == 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e9)), F.lit(False))
     return (df.where(ok & F.col(id).isNotNull()).select(F.col(id).alias("id"), c[0].alias("x"), c[1].alias("y"), c[2].alias("z"))
