@@ -49,6 +49,30 @@ def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     return big.join(F.broadcast(side) if side.count() <= rows else side, on, how)
 
 
+def even_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """For each of `tasks` partitions an integer that repartition(tasks, column) sends there."""
+    found: dict[int, int] = {}
+    start, step = 0, 16 * tasks + 64
+    while len(found) < tasks:
+        at = F.col("id").cast("int")
+        for r in spark.range(start, start + step).groupBy(F.pmod(F.hash(at), F.lit(tasks)).alias("part")).agg(F.min(at).alias("key")).collect():
+            found.setdefault(r["part"], r["key"])
+        start += step
+    return [found[k] for k in range(tasks)]
+
+
+def spread_groups(sizes: list[int], tasks: int) -> list[int]:
+    """The task of every group: the largest first, each to the task that has least."""
+    import heapq
+
+    heap, out = [(0, t) for t in range(tasks)], [0] * len(sizes)
+    for g in sorted(range(len(sizes)), key=lambda g: -sizes[g]):
+        load, t = heapq.heappop(heap)
+        out[g] = t
+        heapq.heappush(heap, (load + sizes[g], t))
+    return out
+
+
 def tidy_key(col: Column) -> Column:
     """A source name without blanks and case; null and blank names become null."""
     out = F.lower(F.regexp_replace(col, r"[\s ]+", ""))
