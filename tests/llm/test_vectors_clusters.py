@@ -44,7 +44,7 @@ def test_sharded_search_recall(spark, crowd):
         x[:600] = x[0] + rng.normal(0, 0.01, (600, 8))
     x = x.astype(np.float32).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "v": x.tolist()}))
-    got = most_similar(df, "id", "v", 8, 5, target=200, most=400, probes=4).toPandas()
+    got = most_similar(df, "id", "v", 8, 5, target=200, most=400).toPandas()
     want = exact(x, 5)
     found = {(int(a), int(b)) for a, b in zip(got["key"], got["neighbor"])}
     assert got.groupby("key").size().eq(5).all() and len(got) == 5 * len(x)
@@ -167,3 +167,23 @@ def test_cubes_whose_representatives_lie_far_apart_are_still_compared(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(len(p)), "c": p.tolist()}))
     assert len(brute_groups(p, 3.0, 5)) == 6
     assert {(r.root_id, r.id) for r in C.CellClusters(df, "id", "c").groups().collect()} == brute_groups(p, 3.0, 5)
+
+
+def test_recall_over_many_cells_and_several_shards(spark):
+    # 40 cells without any structure in about five shards
+    x = np.random.default_rng(8).normal(size=(4000, 12)).astype(np.float32).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "v": x.tolist()}))
+    got = most_similar(df, "id", "v", 12, 5, target=100, most=200, shard_most=1000).toPandas()
+    want = exact(x, 5)
+    found = {(int(a), int(b)) for a, b in zip(got["key"], got["neighbor"])}
+    assert not got.duplicated(["key", "neighbor"]).any() and got.groupby("key").size().eq(5).all()
+    assert np.mean([(k, int(j)) in found for k in range(len(x)) for j in want[k]]) >= 0.9
+
+
+def test_parallel_vectors_are_copies_of_one_direction(spark):
+    rng = np.random.default_rng(9)
+    x = [[s, 2 * s, -s] for s in (0.5, 1, 2, 3, 7)] * 10 + rng.normal(size=(30, 3)).tolist()
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, v array<double>")
+    got = most_similar(df, "id", "v", 3, 5).toPandas()
+    assert got.groupby("key").size().eq(5).all()
+    assert set(got[got["key"] == "3"]["neighbor"]) == {"0", "1", "10", "11", "12"} and (got[got["key"] == "3"]["similarity"] == 1).all()
