@@ -49,6 +49,20 @@ def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     return big.join(F.broadcast(side) if side.count() <= rows else side, on, how)
 
 
+def join_hot(big: DataFrame, side: DataFrame, on: str, weight: str, hot: int = 200_000) -> DataFrame:
+    """Inner join with a materialized side table of one row a key; `weight` says how many rows of `big` have the key.
+
+    Keys of more than `hot` rows are broadcast, so their rows are not sent to one task; there
+    are at most total / hot of them.
+    """
+    heavy = side.where(F.col(weight) > hot)
+    number = heavy.count()
+    if not number or number > BROADCAST_ROWS:
+        return join_sized(big, side, [on])
+    few = F.broadcast(heavy)
+    return big.join(few, on).unionByName(join_sized(big.join(F.broadcast(heavy.select(on)), on, "left_anti"), side.where(F.col(weight) <= hot), [on]))
+
+
 def even_keys(spark: SparkSession, tasks: int) -> list[int]:
     """For each of `tasks` partitions an integer that repartition(tasks, column) sends there."""
     found: dict[int, int] = {}
