@@ -9,8 +9,8 @@ Pivot clustering over that graph runs in rounds: a cube whose hash is smaller th
 all its unassigned neighbours becomes a pivot and absorbs them. Members are then reassigned
 to their closest pivot and medoids recomputed. For groups joined by chains of steps, the
 pivot clusters are folded into nodes themselves and clustered again until no two of them
-are linked. Cubes whose representatives cannot decide whether a step exists are compared
-point by point, in blocks.
+are linked. Where representatives cannot decide whether a step exists between two cubes,
+ever smaller parts of them are compared, and at last points.
 """
 
 from __future__ import annotations
@@ -20,65 +20,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.vectors import matrix
-from lumenfold.runtime import discard, materialize
+from lumenfold.runtime import join_hot, join_sized, materialize
 
 #: Cubes per side of a block of space that one task links.
 BLOCK = 16
 SUB = 4
-OFFSET = 1 << 20  # cube coordinates are shifted to be positive; 21 bits each
+#: From here on doubles have no fractions.
+WHOLE = float(1 << 52)
 
 _HALF = np.array([(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)], dtype=np.int64)
 
 
 def usable_points(df: DataFrame, id: str, coord: str) -> DataFrame:
-    """(id, x, y, z) of the rows with an id and three coordinates within 1e9, each id once.
-
-    Cube keys have 21 bits an axis: they are unique only within about 1 million cubes on
-    either side of 0, which is 1.8 million units at a step of 3.
-    """
+    """(id, x, y, z) of the rows with an id and three finite coordinates, each id once."""
     c = F.col(coord).cast("array<double>")
-    ok = F.coalesce((F.size(c) == 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e9)), F.lit(False))
+    ok = F.coalesce((F.size(c) == 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False))
     return (df.where(ok & F.col(id).isNotNull()).select(F.col(id).alias("id"), c[0].alias("x"), c[1].alias("y"), c[2].alias("z"))
             .groupBy("id").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("id", "p.*"))
 
 
-def _cube(step: float) -> list[Column]:
-    side = step / np.sqrt(3.0)
-    return [F.floor(F.col(c) / side).cast("bigint").alias(f"c{c}") for c in "xyz"]
-
-
-def cube_key(cx: Column, cy: Column, cz: Column) -> Column:
-    return F.shiftleft(cx + OFFSET, 42) + F.shiftleft(cy + OFFSET, 21) + (cz + OFFSET)
+def _floor(q: Column) -> Column:
+    """Floor as a double, whatever the size."""
+    return F.when(F.abs(q) < WHOLE, F.floor(q).cast("double")).otherwise(q)
 
 
 def with_cubes(points: DataFrame, step: float) -> DataFrame:
-    """points with node, the key of the cube they lie in."""
-    return points.select("*", *_cube(step)).withColumn("node", cube_key(F.col("cx"), F.col("cy"), F.col("cz")))
+    """points with cx, cy, cz, the cube they lie in, and node, its name.
+
+    Names are unique wherever the cube lies. Beyond about 1e15, where doubles are 0.1 and
+    more apart, cubes are those of the rounded coordinates.
+    """
+    side = step / np.sqrt(3.0)
+    out = points.select("*", *[_floor(F.col(c) / side).alias(f"c{c}") for c in "xyz"])
+    name = [F.when(F.abs(F.col(f"c{c}")) < WHOLE, F.col(f"c{c}").cast("bigint").cast("string")).otherwise(F.col(f"c{c}").cast("string")) for c in "xyz"]
+    return out.withColumn("node", F.concat_ws(",", *name))
 
 
 def _link(step: float):
     side = step / np.sqrt(3.0)
+    width = BLOCK + 8  # cubes of a block, two of rim on either side, and two more to look beyond it
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links among the cubes of a block and its rim: (a, b, sure)."""
-        pdf = pdf.sort_values(["node", "id"], kind="stable")
-        node, p = pdf["node"].to_numpy(np.int64), pdf[["x", "y", "z"]].to_numpy(np.float64)
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        cubes, count = node[first], np.diff(np.r_[first, len(node)])
+        within = (pdf[["cx", "cy", "cz"]].to_numpy(np.float64) - BLOCK * np.array(key, dtype=np.float64) + 4).astype(np.int64)
+        place = (within[:, 0] * width + within[:, 1]) * width + within[:, 2]
+        by = np.lexsort((pdf["id"].to_numpy(), place))
+        pdf, place, within = pdf.iloc[by], place[by], within[by]
+        p = pdf[["x", "y", "z"]].to_numpy(np.float64)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        cubes, count, name = place[first], np.diff(np.r_[first, len(place)]), pdf["node"].to_numpy()[first]
         core = pdf["core"].to_numpy()[first]
         complete = np.add.reduceat(pdf["m"].to_numpy(np.int64), first) == count
         # of all points of a cube, not of its representatives only
         low = np.minimum.reduceat(pdf[["lx", "ly", "lz"]].to_numpy(np.float64), first)
         high = np.maximum.reduceat(pdf[["hx", "hy", "hz"]].to_numpy(np.float64), first)
         # one representative near the middle of each cube decides most pairs
-        cube = np.stack([(cubes >> 42) - OFFSET, ((cubes >> 21) & (2 * OFFSET - 1)) - OFFSET, (cubes & (2 * OFFSET - 1)) - OFFSET], axis=1)
+        cube = pdf[["cx", "cy", "cz"]].to_numpy(np.float64)[first]
         off = ((p - np.repeat((cube + 0.5) * side, count, axis=0)) ** 2).sum(axis=1)
         order = np.lexsort((off, np.repeat(np.arange(len(cubes)), count)))
         mid = p[order[first]]
         out_a, out_b, sure = [], [], []
         for d in _HALF:
-            other = ((cube[:, 0] + d[0] + OFFSET) << 42) + ((cube[:, 1] + d[1] + OFFSET) << 21) + cube[:, 2] + d[2] + OFFSET
+            other = cubes + (d[0] * width + d[1]) * width + d[2]
             at = np.minimum(np.searchsorted(cubes, other), len(cubes) - 1)
             i = np.flatnonzero((cubes[at] == other) & (core | core[at]))
             j = at[i]
@@ -91,8 +94,8 @@ def _link(step: float):
                 a, b = p[first[i[k]]:first[i[k]] + count[i[k]]], p[first[j[k]]:first[j[k]] + count[j[k]]]
                 linked[k] = (((a[:, None] - b[None]) ** 2).sum(axis=2) <= step * step).any()
             keep = linked | ~(complete[i] & complete[j])
-            out_a.append(cubes[i[keep]])
-            out_b.append(cubes[j[keep]])
+            out_a.append(name[i[keep]])
+            out_b.append(name[j[keep]])
             sure.append(linked[keep])
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "sure": np.concatenate(sure)})
 
@@ -111,16 +114,15 @@ def cube_links(points: DataFrame, step: float) -> DataFrame:
         F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "x", "y", "z")).alias("p"),
         *[F.min(c).alias(f"l{c}") for c in "xyz"], *[F.max(c).alias(f"h{c}") for c in "xyz"])
     box = [f"{e}{c}" for e in "lh" for c in "xyz"]
-    reps = reps.select("node", "cx", "cy", "cz", "m", "p.id", "p.x", "p.y", "p.z", *box)
-    blocks = reps
-    for c in "xyz":
-        lo, hi = F.floor((F.col(f"c{c}") - 2) / BLOCK), F.floor((F.col(f"c{c}") + 2) / BLOCK)
-        blocks = blocks.withColumn(f"b{c}", F.explode(F.sequence(lo, hi)))
+    blocks = reps.select("node", "cx", "cy", "cz", "m", "p.id", "p.x", "p.y", "p.z", *box)
+    for c in "xyz":  # a cube near the border of its block is in the rim of the next one too
+        edge = F.array_distinct(F.array(_floor((F.col(f"c{c}") - 2) / BLOCK), _floor((F.col(f"c{c}") + 2) / BLOCK)))
+        blocks = blocks.withColumn(f"b{c}", F.explode(edge))
     home = F.lit(True)
     for c in "xyz":
-        home = home & (F.floor(F.col(f"c{c}") / BLOCK) == F.col(f"b{c}"))
-    blocks = blocks.select("bx", "by", "bz", "node", "id", "x", "y", "z", "m", *box, home.alias("core"))
-    return blocks.groupBy("bx", "by", "bz").applyInPandas(_link(step), "a bigint, b bigint, sure boolean").distinct()
+        home = home & (_floor(F.col(f"c{c}") / BLOCK) == F.col(f"b{c}"))
+    blocks = blocks.select("bx", "by", "bz", "node", "cx", "cy", "cz", "id", "x", "y", "z", "m", *box, home.alias("core"))
+    return blocks.groupBy("bx", "by", "bz").applyInPandas(_link(step), "a string, b string, sure boolean").distinct()
 
 
 def pivot_rounds(edges: DataFrame, salt: int = 0) -> DataFrame:
@@ -177,26 +179,65 @@ def fold_linked(assigned: DataFrame, edges: DataFrame) -> DataFrame:
         assigned = materialize(known.unionByName(new), "assigned")
 
 
-def decide(points: DataFrame, pairs: DataFrame, step: float, block: int = 4096) -> DataFrame:
-    """Of pairs (a, b) of cubes, those that do hold two points at most `step` apart, by comparing points in blocks."""
-    sizes = points.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("k"))
-    p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sizes.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-    p = p.select("a", "b", "ka", "kb")
+def _gap(a: str, b: str) -> Column:
+    """Squared distance of two boxes."""
+    out = F.lit(0.0)
+    for c in "xyz":
+        g = F.greatest(F.lit(0.0), F.col(f"{b}.l{c}") - F.col(f"{a}.h{c}"), F.col(f"{a}.l{c}") - F.col(f"{b}.h{c}"))
+        out = out + g * g
+    return out
+
 
-    def side(own: str, other: str, ko: str) -> DataFrame:
-        mine = "i" if own == "a" else "j"
-        theirs = "j" if own == "a" else "i"
+def decide(points: DataFrame, pairs: DataFrame, step: float, levels: int = 6, block: int = 4096) -> DataFrame:
+    """Of pairs (a, b) of cubes, those that do hold two points at most `step` apart.
+
+    Cubes are cut into parts of a quarter of the side in turn; each part is known by its box
+    and one of its points, however many it has. Pairs of parts whose boxes are further apart
+    than a step are dropped; a pair whose two points are within a step decides its cubes.
+    What is still open at the last level (parts of a 4096th of the side) is compared point by
+    point, in blocks.
+    """
+    side = step / np.sqrt(3.0)
+    square = step * step
+    open_pairs = pairs.select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb"))
+    nodes = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "open-nodes")
+    mine = materialize(join_sized(points.select("node", "id", "x", "y", "z", "cx", "cy", "cz"), nodes, ["node"]), "open-points")
+    found = None
+
+    def part_at(level: int) -> Column:
+        grid = 4**level
+        return F.concat_ws("/", "node", *[F.least(F.lit(grid - 1), F.floor((F.col(c) / side - F.col(f"c{c}")) * grid)).cast("string") for c in "xyz"]) if level else F.col("node")
+
+    for level in range(1, levels + 1):
+        cells = mine.select(part_at(level - 1).alias("parent"), part_at(level).alias("part"), "id", "x", "y", "z").groupBy("parent", "part").agg(
+            F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "x", "y", "z")).alias("p"), *[F.min(c).alias(f"l{c}") for c in "xyz"], *[F.max(c).alias(f"h{c}") for c in "xyz"])
+        side_of = lambda s: cells.select(F.col("parent").alias(f"p{s}"), F.struct("part", "m", "p", *[f"{e}{c}" for e in "lh" for c in "xyz"]).alias(f"s{s}"))
+        near = open_pairs.join(side_of("a"), "pa").join(side_of("b"), "pb").where(_gap("sa", "sb") <= square)
+        apart = sum(((F.col(f"sa.p.{c}") - F.col(f"sb.p.{c}")) * (F.col(f"sa.p.{c}") - F.col(f"sb.p.{c}")) for c in "xyz"), F.lit(0.0))
+        near = materialize(near.select("a", "b", F.col("sa.part").alias("pa"), F.col("sb.part").alias("pb"), (apart <= square).alias("linked"), ((F.col("sa.m") == 1) & (F.col("sb.m") == 1)).alias("single")), "near-parts")
+        yes = materialize(near.where("linked").select("a", "b").distinct(), "decided")
+        found = yes if found is None else found.unionByName(yes)
+        open_pairs = materialize(near.where("not linked and not single").select("a", "b", "pa", "pb").join(yes, ["a", "b"], "left_anti"), "open-parts")
+        if open_pairs.isEmpty():
+            return found
+    part = part_at(levels)
+    sites = mine.select(part.alias("part"), "x", "y", "z").distinct()
+    sizes = sites.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("k"))
+    p = open_pairs.join(sizes.select(F.col("part").alias("pa"), F.col("k").alias("ka")), "pa").join(sizes.select(F.col("part").alias("pb"), F.col("k").alias("kb")), "pb")
+
+    def blocks(own: str, i: str, j: str, k_own: str, k_other: str) -> DataFrame:
         # new columns on either side: cogroup cannot tell apart those of one table
-        q = points.select(F.col("node").alias(own), "id", *[F.col(c).alias(c) for c in "xyz"]).join(p, own)
-        return q.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("k" + own))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(ko) - 1))).select("a", "b", "i", "j", "x", "y", "z")
+        q = sites.select(F.col("part").alias(own), *[F.col(c).alias(c) for c in "xyz"]).join(p, own)
+        return q.withColumn(i, F.pmod(F.xxhash64("x", "y", "z"), F.col(k_own))).withColumn(j, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k_other) - 1))).select("a", "b", "pa", "pb", "i", "j", "x", "y", "z")
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         u, v = left[["x", "y", "z"]].to_numpy(), right[["x", "y", "z"]].to_numpy()
-        hit = len(u) > 0 and len(v) > 0 and any((((u[s:s + 512, None] - v[None]) ** 2).sum(axis=2) <= step * step).any() for s in range(0, len(u), 512))
+        hit = len(u) > 0 and len(v) > 0 and any((((u[s:s + 512, None] - v[None]) ** 2).sum(axis=2) <= square).any() for s in range(0, len(u), 512))
         return pd.DataFrame({"a": [key[0]], "b": [key[1]]}) if hit else pd.DataFrame({"a": [], "b": []})
 
-    by = ["a", "b", "i", "j"]
-    return side("a", "b", "kb").groupBy(*by).cogroup(side("b", "a", "ka").groupBy(*by)).applyInPandas(compare, "a bigint, b bigint").distinct()
+    by = ["a", "b", "pa", "pb", "i", "j"]
+    last = blocks("pa", "i", "j", "ka", "kb").groupBy(*by).cogroup(blocks("pb", "j", "i", "kb", "ka").groupBy(*by)).applyInPandas(compare, "a string, b string")
+    return found.unionByName(last.distinct())
 
 
 class CellClusters:
@@ -206,23 +247,26 @@ class CellClusters:
         self.step = step
         self.points = materialize(with_cubes(usable_points(df, id, coord), step), "points")
         self.links = materialize(cube_links(self.points, step), "links")
-        self.cubes = self.points.select("node").distinct()
+        self.cubes = materialize(self.points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "cubes")
         sure = self.links.where("sure")
         self.pivots = pivot_rounds(materialize(both_ways(sure), "both"))
 
     def members(self) -> DataFrame:
         """(id, pivot): every point in the cluster of the closest pivot among those its cube is linked to."""
         own = self.cubes.join(self.pivots, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
-        heads = own.select(F.col("pivot").alias("node")).distinct()
+        heads = materialize(own.select(F.col("pivot").alias("node")).distinct(), "heads")
         # a pivot stands for the point of its cube that is closest to the cube's mean
-        mean = self.points.groupBy("node").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"))
-        centre = self.points.join(heads, "node", "left_semi").join(mean, "node").groupBy("node").agg(
+        mean = self.points.groupBy("node").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.count(F.lit(1)).alias("n"))
+        mean = materialize(mean.join(heads, "node"), "means")
+        centre = join_hot(self.points, mean, "node", "n").groupBy("node").agg(
             F.min_by(F.struct("x", "y", "z"), F.struct(_square("x", "mx") + _square("y", "my") + _square("z", "mz"), F.col("id"))).alias("c"))
         near = both_ways(self.links.where("sure")).join(heads.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"), F.col("b").alias("pivot"))
         choice = near.unionByName(own).distinct().join(centre.select(F.col("node").alias("pivot"), "c"), "pivot")
-        d = _square("x", "c.x") + _square("y", "c.y") + _square("z", "c.z")
-        return self.points.join(choice, "node").groupBy("id").agg(F.min_by("pivot", F.struct(d.alias("d"), F.col("pivot"))).alias("pivot"),
-                                                                 F.any_value(F.struct("x", "y", "z")).alias("p")).select("id", "pivot", "p.*")
+        # a cube touches at most 124 others, so its pivots are a short list
+        lists = materialize(choice.groupBy("node").agg(F.collect_list(F.struct("pivot", "c")).alias("pivots")).join(self.cubes.select("node", "n"), "node"), "choices")
+        d = lambda v: (F.col("x") - v["c"]["x"]) ** 2 + (F.col("y") - v["c"]["y"]) ** 2 + (F.col("z") - v["c"]["z"]) ** 2
+        best = F.array_min(F.transform("pivots", lambda v: F.struct(d(v).alias("d"), v["pivot"].alias("pivot"))))["pivot"]
+        return join_hot(self.points.select("node", "id", "x", "y", "z"), lists, "node", "n").select("id", best.alias("pivot"), "x", "y", "z")
 
     def clusters(self, typical: int = 3) -> DataFrame:
         """(pivot, size, medoid ids, ..): each cluster with its size and most typical members."""
@@ -239,10 +283,10 @@ class CellClusters:
             more = materialize(decide(self.points, open_pairs, self.step), "decided")
             of = fold_linked(materialize(of, "tops"), more)
             of = self.cubes.join(of, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
-        per_cube = self.points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-        roots = per_cube.join(of, "node").groupBy("pivot").agg(F.sum("n").alias("n"), F.min("least").alias("root_id")).where(F.col("n") >= least)
-        labels = materialize(of.join(roots, "pivot").select("node", "root_id"), "labels")
-        return self.points.select("node", "id").join(labels, "node").select("root_id", "id")
+        of = materialize(self.cubes.join(of, "node"), "cube-tops")
+        roots = materialize(of.groupBy("pivot").agg(F.sum("n").alias("size"), F.min("least").alias("root_id")).where(F.col("size") >= least).select("pivot", "root_id"), "roots")
+        labels = materialize(of.join(roots, "pivot").select("node", "n", "root_id"), "labels")
+        return join_hot(self.points.select("node", "id"), labels, "node", "n").select("root_id", "id")
 
 
 def _square(a: str, b: str) -> Column:
@@ -264,4 +308,4 @@ def describe(members: DataFrame, typical: int = 3) -> DataFrame:
     return mean.select("cluster", "size").join(typical_ids, "cluster")
 
 
-__all__ = ["CellClusters", "both_ways", "cube_links", "decide", "describe", "discard", "fold_linked", "matrix", "pivot_rounds", "usable_points", "with_cubes"]
+__all__ = ["CellClusters", "both_ways", "cube_links", "decide", "describe", "fold_linked", "pivot_rounds", "usable_points", "with_cubes"]

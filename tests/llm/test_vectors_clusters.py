@@ -187,3 +187,27 @@ def test_parallel_vectors_are_copies_of_one_direction(spark):
     got = most_similar(df, "id", "v", 3, 5).toPandas()
     assert got.groupby("key").size().eq(5).all()
     assert set(got[got["key"] == "3"]["neighbor"]) == {"0", "1", "10", "11", "12"} and (got[got["key"] == "3"]["similarity"] == 1).all()
+
+
+def groups_of(spark, p):
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(p)), "c": np.asarray(p).tolist()}))
+    return {(r.root_id, r.id) for r in C.CellClusters(df, "id", "c").groups().collect()}
+
+
+def test_points_far_out(spark):
+    rng = np.random.default_rng(11)
+    p = [rng.normal(0, 0.8, (6, 3)) + [x, y, 0] for x in (1.5e9, -1.5e9, 0, 3.6e6, -3.6e6, 1e12) for y in (0, 2.0e6)]
+    p = np.vstack([*p, [[1e300, 0, 0]] * 5, [[1e300, 1e300, 0]] * 4])
+    got = groups_of(spark, p)
+    assert got == brute_groups(p, 3.0, 5) and len({r for r, _ in got}) == 13
+
+
+@pytest.mark.parametrize("apart", [3.0, 3.0001])
+def test_crowded_cubes_a_step_apart(spark, apart):
+    # two walls of 40,000 points each, of which one pair may be exactly a step apart
+    rng = np.random.default_rng(12)
+    a, b = rng.uniform(0.1, 0.5, (40000, 3)).round(4), rng.uniform(0.1, 0.5, (40000, 3)).round(4)
+    a[:, 0], b[:, 0] = 0.25 - np.abs(a[:, 1] - 0.3) / 100 - 0.0001, 0.25 + apart + np.abs(b[:, 1] - 0.3) / 100 + 0.0001
+    a[7], b[9] = [0.25, 0.3, 0.3], [0.25 + apart, 0.3, 0.3]
+    got = groups_of(spark, np.vstack([a, b]))
+    assert len({r for r, _ in got}) == (1 if apart == 3.0 else 2) and len(got) == 80000
