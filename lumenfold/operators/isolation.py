@@ -1,8 +1,13 @@
 """Isolation forests over many sources at once, as array operations.
 
-A forest belongs to one segment (one source, or one block of a long one): `trees` trees
-of depth log2(sample), each grown on a random sample of the segment's rows. All trees
-of all segments grow level by level together; no step loops over rows or segments.
+A forest belongs to one segment (one source, or one block of a long one): `trees` trees of
+the given depth, each grown on a random sample of the segment's rows. All trees of all
+segments grow level by level together; no step loops over rows or segments.
+
+A node covers a box of feature space. The root's box reaches from 0 to the largest value
+of the sample, or to the feature's `reach` where that is larger, and cuts are drawn inside the
+box: so a sample without a single outlier still has empty leaves where outliers would lie,
+and rows that end there are isolated at once. Scores then mean the same in every segment.
 """
 
 from __future__ import annotations
@@ -19,10 +24,9 @@ def expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> dict:
-    """Forests of the segments [start, start + size) of the rows of x (features x rows, float32)."""
-    depth = max(1, int(np.ceil(np.log2(sample))))
-    roots = len(starts) * trees
+def grow(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trees: int, sample: int, depth: int, reach: np.ndarray, rng: np.random.Generator) -> dict:
+    """Forests of the segments [start, start + size) of the rows of x (features x rows, float32, none negative)."""
+    features, roots = len(x), len(starts) * trees
     width = np.minimum(sizes, sample)
     pick = (np.repeat(starts, trees)[:, None] + (rng.random((roots, sample)) * np.repeat(sizes, trees)[:, None]).astype(np.int64))
     used = np.arange(sample)[None, :] < np.repeat(width, trees)[:, None]
@@ -31,34 +35,42 @@ def grow(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trees: int, sampl
     feature = np.zeros((depth, roots, 1 << (depth - 1)), dtype=np.int8)
     split = np.full((depth, roots, 1 << (depth - 1)), np.inf, dtype=np.float32)
     path = np.zeros((roots, 1 << depth), dtype=np.float32)
+    # nodes that are cut at a level: their tree, place and box; at first the roots
+    at, place = np.arange(roots), np.zeros(roots, dtype=np.int64)
+    high = np.maximum(np.maximum.reduceat(x, starts, axis=1) if len(starts) else np.empty((features, 0), dtype=np.float32), reach[:, None].astype(np.float32))
+    low, high = np.zeros((features, roots), dtype=np.float32), np.repeat(np.minimum(high, 4 * reach[:, None].astype(np.float32)), trees, axis=1)
     for level in range(depth):
-        key = tree * (1 << level) + node
-        order = np.argsort(key, kind="stable")
-        key, tree, node, row = key[order], tree[order], node[order], row[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-        count = np.diff(np.r_[first, len(key)])
-        # a feature that varies inside the node, drawn at random
-        low = np.minimum.reduceat(x[:, row], first, axis=1) if len(first) else np.empty((len(x), 0))
-        high = np.maximum.reduceat(x[:, row], first, axis=1) if len(first) else low
-        draw = rng.random(low.shape) * (high > low)
-        chosen = draw.argmax(axis=0)
-        at = np.arange(len(first))
-        a, b = low[chosen, at], high[chosen, at]
-        live = (b > a) & (count > 1)
-        cut = np.where(live, a + (b - a) * rng.random(len(first)).astype(np.float32), np.inf).astype(np.float32)
-        cut = np.where(live & (cut >= b), a, cut)
-        feature[level, tree[first], node[first]] = chosen
-        split[level, tree[first], node[first]] = cut
-        ended = ~live
-        path[tree[first[ended]], node[first[ended]] << (depth - level)] = level + expected_path(count[ended])
-        each = np.repeat(np.arange(len(first)), count)
-        keep = live[each]
-        right = x[chosen[each], row] > cut[each]
-        tree, node, row = tree[keep], (2 * node + right)[keep], row[keep]
-    key = tree * (1 << depth) + node
-    leaf, count = np.unique(key, return_counts=True)
+        chosen = rng.integers(0, features, len(at))
+        which = np.arange(len(at))
+        a, b = low[chosen, which], high[chosen, which]
+        cut = a + (b - a) * rng.random(len(at), dtype=np.float32)
+        feature[level, at, place], split[level, at, place] = chosen, cut
+        lookup = np.full((roots, 1 << level), -1, dtype=np.int64)
+        lookup[at, place] = which
+        of = lookup[tree, node]  # rows sit only in nodes that are cut
+        right = x[chosen[of], row] > cut[of]
+        node = 2 * node + right
+        count = np.stack([np.bincount(of[~right], minlength=len(at)), np.bincount(of[right], minlength=len(at))])
+        for side in (0, 1):
+            ended = count[side] <= 1
+            path[at[ended], (2 * place[ended] + side) << (depth - level - 1)] = level + 1
+        # an ended child keeps its path at its first place; rows that reach it go on to the left, as splits are infinite there
+        stay = count > 1
+        new_at, new_place, new_low, new_high = [], [], [], []
+        for side in (0, 1):
+            k = np.flatnonzero(stay[side])
+            new_at.append(at[k])
+            new_place.append(2 * place[k] + side)
+            lo, hi = low[:, k].copy(), high[:, k].copy()
+            (hi if side == 0 else lo)[chosen[k], np.arange(len(k))] = cut[k]
+            new_low.append(lo)
+            new_high.append(hi)
+        live = stay[right.astype(np.int64), of]
+        tree, node, row = tree[live], node[live], row[live]
+        at, place, low, high = np.concatenate(new_at), np.concatenate(new_place), np.concatenate(new_low, axis=1), np.concatenate(new_high, axis=1)
+    leaf, count = np.unique(tree * (1 << depth) + node, return_counts=True)
     path[leaf >> depth, leaf & ((1 << depth) - 1)] = depth + expected_path(count)
-    return {"depth": depth, "feature": feature, "split": split, "path": path, "trees": trees, "width": width}
+    return {"depth": depth, "feature": feature, "split": split, "path": path, "trees": trees, "width": width, "sample": sample}
 
 
 def score(forest: dict, x: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -75,5 +87,4 @@ def score(forest: dict, x: np.ndarray, segment: np.ndarray) -> np.ndarray:
             f = forest["feature"][level].ravel()[place]
             node = 2 * node + (flat[f.astype(np.int64) * n + at] > forest["split"][level].ravel()[place])
         total += forest["path"].ravel()[root * forest["path"].shape[1] + node]
-    norm = np.maximum(expected_path(forest["width"]), 1.0)[segment]
-    return 2.0 ** (-(total / trees) / norm)
+    return 2.0 ** (-(total / trees) / float(expected_path(np.array(forest["sample"]))))

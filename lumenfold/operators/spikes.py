@@ -7,11 +7,11 @@ one block. Blocks are bundled, and each bundle is scored in one call with arrays
 Of each block and field a forest is grown on four features of every reading: level
 (distance from the readings around it in units of the block's usual scatter), difference
 to its neighbours, seasonal residual (against one period before and after) and length of
-the run of equal values. Every reading gets a score. Whatever the score, every run of
-`stuck` equal values is a fault; and readings scored at least `threshold` (and their next
-neighbours), as well as all that follow a step large enough to begin one, are held against
-the definition of a burst: at most three readings that leave a level which is resumed afterwards.
-Readings outside the physical limits are faults by rule.
+the run of equal values. Every reading gets a score, and the score decides what may be a
+spike: readings that score at least `threshold`, with the two on either side, are held against the
+definition of a burst (at most three readings that leave a level which is resumed
+afterwards), in sources of any size. Two kinds of faults need no score, being rules: runs
+of `stuck` equal values, and readings outside the physical limits.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from lumenfold.operators import isolation
 from lumenfold.runtime import join_sized, materialize, tidy_key
 
 HALO = 40
+#: What features count up to, and the range in which cuts are drawn at least: units of scatter, and the binary logarithm of a run.
+FEATURE_MOST, REACH = 40.0, np.array([10.0, 10.0, 10.0, 6.0])
+#: Kinds of faults, the stronger rule last.
+KINDS = ("", "spike", "stuck", "limit")
 
 
 @dataclass(frozen=True)
@@ -40,9 +44,10 @@ class Limits:
 @dataclass(frozen=True)
 class SpikeSettings:
     limits: dict[str, Limits] = field(default_factory=dict)
-    trees: int = 16
+    trees: int = 24
     sample: int = 64
-    threshold: float = 0.52
+    depth: int = 8
+    threshold: float = 0.42
     bound: float = 6.5
     stuck: int = 8
     block: int = 16384
@@ -131,7 +136,7 @@ def _features(x: np.ndarray, segment: np.ndarray, starts: np.ndarray, sizes: np.
     after = np.where((lag > 0) & (at + lag < end), x[np.minimum(at + lag, len(x) - 1)], np.nan)
     season = np.fmin(np.abs(x - before), np.abs(x - after))
     f = np.stack([level / s, step / s, season / s])
-    return np.vstack([np.log1p(np.nan_to_num(f, nan=0.0, posinf=1e30)), np.log2(run)[None, :]]).astype(np.float32), s
+    return np.vstack([np.minimum(np.nan_to_num(f, nan=0.0, posinf=FEATURE_MOST), FEATURE_MOST), np.log2(run)[None, :]]).astype(np.float32), s
 
 
 def _bursts(x: np.ndarray, s: np.ndarray, segment: np.ndarray, at: np.ndarray, bound: float, side: int = 8) -> np.ndarray:
@@ -161,17 +166,17 @@ def _bursts(x: np.ndarray, s: np.ndarray, segment: np.ndarray, at: np.ndarray, b
 
 
 def find_faults(value: np.ndarray, segment: np.ndarray, limits: Limits, st: SpikeSettings, exhaustive: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Score and fault flag of every reading; rows are sorted by segment (0, 1, ..) and order, none is null.
+    """Score and kind of fault (place in KINDS, 0: none) of every reading; rows are sorted by segment (0, 1, ..) and order, none is null.
 
-    `exhaustive` checks every reading against the definition instead of the forest's candidates (for tests).
+    `exhaustive` checks every reading against the definition of a spike instead of the forest's candidates (for tests).
     """
     n = len(value)
     if n == 0:
-        return np.empty(0, dtype=np.float32), np.empty(0, dtype=bool)
+        return np.empty(0, dtype=np.float32), np.empty(0, dtype=np.int8)
     sizes = np.bincount(segment)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     bad = ~(np.where(limits.open_low, value > limits.low, value >= limits.low) & np.where(limits.open_high, value < limits.high, value <= limits.high))
-    first, run = _runs(value, segment)
+    run = _runs(value, segment)[1]
     # for the features an impossible value stands at the last possible one of its segment
     keep = np.where(bad, -1, np.arange(n))
     last = np.maximum.accumulate(keep)
@@ -183,23 +188,19 @@ def find_faults(value: np.ndarray, segment: np.ndarray, limits: Limits, st: Spik
         fits = (ahead < n) & (segment[np.minimum(ahead, n - 1)] == segment)
         x = np.where(lost, np.where(fits, value[np.minimum(ahead, n - 1)], 0.0), x)
     f, s = _features(x, segment, starts, sizes, run)
-    forest = isolation.grow(f, starts, sizes, st.trees, st.sample, np.random.default_rng(st.seed))
+    forest = isolation.grow(f, starts, sizes, st.trees, st.sample, st.depth, REACH, np.random.default_rng(st.seed))
     scores = isolation.score(forest, f, segment)
-    candidate = (scores >= st.threshold) | (sizes[segment] < 2 * st.sample) | exhaustive
-    stuck = np.zeros(n, dtype=bool)
-    stuck[first[run >= st.stuck]] = True
+    candidate = (scores >= st.threshold) | exhaustive
     near = candidate.copy()
     for k in (1, 2):
         near[k:] |= candidate[:-k]
         near[:-k] |= candidate[k:]
-    # a burst begins with a step of at least 0.4 times its height, so no other reading can lie in one
-    step = np.abs(x - _shifted(x, segment, -1))
-    step = np.fmax(step, np.fmax(_shifted(step, segment, -1), _shifted(step, segment, -2)))
-    near |= step >= 0.399 * st.bound * s
     at = np.flatnonzero(near & ~bad)
-    fault = bad | stuck[first]
-    fault[at] |= _bursts(x, s, segment, at, st.bound)
-    return scores, fault
+    kind = np.zeros(n, dtype=np.int8)
+    kind[at[_bursts(x, s, segment, at, st.bound)]] = 1
+    kind[run >= st.stuck] = 2
+    kind[bad] = 3
+    return scores, kind
 
 
 # ---- plan ------------------------------------------------------------------------------
@@ -231,9 +232,9 @@ def _blocks(rows: DataFrame, sources: DataFrame, st: SpikeSettings) -> DataFrame
 
 
 def score_readings(df: DataFrame, id: str, source: Column, order: Column, fields: list[str], st: SpikeSettings, faults_only: bool = False) -> DataFrame:
-    """(id, field, value, score, fault): one row per non-null reading of `fields`.
+    """(id, field, value, score, fault, kind): one row per non-null reading of `fields`.
 
-    Rows delivered twice count once. Sources are told apart without blanks and case. Rows
+    kind is 'spike', 'stuck', 'limit' or empty. Rows delivered twice count once. Sources are told apart without blanks and case. Rows
     without a source or an order belong to none: only the physical limits judge them (score
     null). NaN and infinite readings are faults. Ties in the order are put by id. Tables
     without rows give none; other columns, whatever their names, are not read.
@@ -262,12 +263,12 @@ def score_readings(df: DataFrame, id: str, source: Column, order: Column, fields
             v = pdf[f"v{k}"].to_numpy(dtype=np.float64, na_value=np.nan)[once]
             there = ~pdf[f"z{k}"].to_numpy(dtype=bool)[once]
             segment = np.unique(seg[there], return_inverse=True)[1]
-            scores, fault = find_faults(v[there], segment, bounds[k], st)
-            show = core[there] & (fault if faults_only else True)
-            parts.append(pd.DataFrame({"id": ident[there][show], "field": names[k], "value": v[there][show], "score": scores[show].astype(np.float64), "fault": fault[show]}))
+            scores, kind = find_faults(v[there], segment, bounds[k], st)
+            show = core[there] & (kind > 0 if faults_only else True)
+            parts.append(pd.DataFrame({"id": ident[there][show], "field": names[k], "value": v[there][show], "score": scores[show].astype(np.float64), "fault": kind[show] > 0, "kind": np.array(KINDS, dtype=object)[kind[show]]}))
         return pd.concat(parts)
 
-    schema = f"id {df.schema[id].dataType.simpleString()}, field string, value double, score double, fault boolean"
+    schema = f"id {df.schema[id].dataType.simpleString()}, field string, value double, score double, fault boolean, kind string"
     for k in range(count):
         rows = rows.withColumn(f"z{k}", F.col(f"v{k}").isNull())
     scored = rows.groupBy("bundle").applyInPandas(judge, schema)
@@ -275,7 +276,7 @@ def score_readings(df: DataFrame, id: str, source: Column, order: Column, fields
     for k, c in enumerate(fields):
         b, v = bounds[k], F.col(f"v{k}")
         fine = (v > b.low if b.open_low else v >= b.low) & (v < b.high if b.open_high else v <= b.high) & ~F.isnan(v)
-        verdicts.append(F.struct(F.lit(c).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("score"), (~fine).alias("fault")))
+        verdicts.append(F.struct(F.lit(c).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("score"), (~fine).alias("fault"), F.when(fine, "").otherwise("limit").alias("kind")))
     stray = base.where("key is null or ord is null").select("id", F.explode(F.array(*verdicts)).alias("r")).select("id", "r.*").where("value is not null")
     stray = (stray.where("fault") if faults_only else stray).dropDuplicates(["id", "field"])
     out = scored.unionByName(stray)

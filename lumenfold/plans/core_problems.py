@@ -30,13 +30,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Per table and field: readings, faults and the scores' spread, from the scored readings."""
+    """Per table and field: readings, those scored as candidates, faults and the scores' spread, from the scored readings."""
     scored = _readings(spark, folder, False)
     return scored.groupBy("src", "field").agg(
-        F.count(F.lit(1)).alias("readings"), F.count_if("fault").alias("faults"), F.round(F.avg("score"), 6).alias("mean_score"),
+        F.count(F.lit(1)).alias("readings"), F.count_if(F.col("score") >= SETTINGS.threshold).alias("candidates"), F.count_if("fault").alias("faults"), F.round(F.avg("score"), 6).alias("mean_score"),
         F.round(F.avg(F.when(F.col("fault"), F.col("score"))), 6).alias("mean_fault_score"))
 
 
+def p2_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The faults by rule alone: readings outside the limits, and stuck ones."""
+    return _readings(spark, folder, True).where("kind in ('limit', 'stuck')").select("src", "id", "field", "kind")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return surges(rolling_totals(table(spark, folder, "cir_consumption"), "depot_id", "day", "units"), "depot_id", "day")
 
@@ -57,8 +62,19 @@ rolled AS (SELECT *, CAST(sum(cents) OVER (PARTITION BY depot_id ORDER BY day RO
   CAST(sum(cents) OVER (PARTITION BY depot_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS s30 FROM filled)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_rolling": p3_rolling}
+def _rules_sql(src: str, source: str, order: str, field: str, fine: str) -> str:
+    return f"""SELECT '{src}' AS src, id, '{field}' AS field, CASE WHEN NOT fine THEN 'limit' ELSE 'stuck' END AS kind FROM (
+      SELECT *, key IS NOT NULL AND ord IS NOT NULL AND count(*) OVER (PARTITION BY key, v, place - among) >= 8 AS stuck FROM (
+        SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, id) AS place, row_number() OVER (PARTITION BY key, v ORDER BY ord, id) AS among FROM (
+          SELECT DISTINCT id, nullif(lower(regexp_replace({source}, '\\s+', '', 'g')), '') AS key, {order} AS ord, {field} AS v, {fine.format(v=field)} AS fine FROM {src} WHERE {field} IS NOT NULL)))
+      WHERE stuck OR NOT fine"""
+
+
+QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p2_rules": p2_rules, "p3_found": p3_found, "p3_rolling": p3_rolling}
 SQL = {
+    "p2_rules": " UNION ALL ".join([
+        _rules_sql("ebl_telemetry", "vin", "seq", "soh", "{v} BETWEEN 0.5 AND 1"), _rules_sql("ebl_telemetry", "vin", "seq", "temp_c", "{v} BETWEEN -45 AND 110"),
+        _rules_sql("ebl_telemetry", "vin", "seq", "volt", "{v} BETWEEN 2.2 AND 4.8"), _rules_sql("incident_logs", "agent_id", "event_ts", "latency_ms", "{v} > 0 AND {v} < 1e6")]),
     "p3_found": P3_ROLLING_SQL + "SELECT depot_id, day FROM rolled WHERE day >= first_day + 29 AND s30 > 0 AND 2 * s7 > s30",
     "p3_rolling": P3_ROLLING_SQL + """SELECT depot_id, day, first_day, cents / 100.0::DOUBLE AS units, s7 / 100.0::DOUBLE AS total_7, s30 / 100.0::DOUBLE AS total_30,
   round(s7 / 100.0::DOUBLE / 7, 6) AS avg_7, round(s30 / 100.0::DOUBLE / 30, 6) AS avg_30 FROM rolled""",
