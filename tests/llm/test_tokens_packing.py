@@ -85,8 +85,25 @@ def test_plan_is_tight():
 
 
 def test_patterns_fill_the_container():
-    p = P.patterns(np.array([1, 3, 4, 5, 8]), 8)
-    assert {tuple(sorted(x for x in r if x)) for r in p.tolist()} == {(8,), (3, 5), (4, 4), (1, 3, 4)}
+    b = np.array([1, 3, 4, 5, 8])
+    p = P.patterns(b, 8)
+    used = [tuple(sorted([b[i]] * m + ([b[j]] * n if j >= 0 else []) + ([b[k]] if k >= 0 else []))) for i, m, j, n, k in p.tolist()]
+    assert all(sum(u) == 8 for u in used) and {(8,), (3, 5), (4, 4), (1, 3, 4), (1,) * 8, (1, 1, 1, 5)} <= set(used)
+
+
+@pytest.mark.parametrize("capacity", [64, 300, 2000])
+def test_fitted_patterns_place_most_items(capacity):
+    rng = np.random.default_rng(3)
+    hist = np.bincount(np.minimum(rng.lognormal(3.6, 0.9, 20000).astype(int) + 1, capacity), minlength=capacity + 1)
+    plan = check_plan(hist, capacity)
+    by = np.zeros(2)
+    for s in np.unique(plan.size):
+        mine = plan.size == s
+        np.add.at(by, plan.fitted[mine], np.diff(np.r_[plan.first[mine], hist[s]]))
+    assert by[1] >= 0.8 * by.sum()
+    # items above half the capacity may need a container each
+    bound = max(-(-int((np.arange(capacity + 1) * hist).sum()) // capacity), int(hist[capacity // 2 + 1:].sum()))
+    assert plan.containers <= 1.02 * bound + 1
 
 
 def test_documents_are_packed_whole(spark):
