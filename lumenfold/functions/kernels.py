@@ -327,7 +327,13 @@ def detect_loop(states, dim: int, n_bits: int = 64, seed: int = 42, hamming: int
 # ---- search and optimization -----------------------------------------------------------------
 
 def diffusion_search(query, generations: int = 30, population: int = 50, diffusion: int = 2, walk: float = 0.5, seed: int = 1) -> dict:
-    """Stochastic search by diffusing particles for the point of [-1, 1]^d closest to the query by cosine."""
+    """Stochastic search by diffusing particles for the point of [-1, 1]^d closest to the query by cosine.
+
+    Steps use nothing of the query but the fitness of points tried: particles diffuse around
+    the weighted mean of the best quarter (or, with probability 1 - walk, each around a
+    particle of that quarter), with a width that grows while successive means move the
+    same way and shrinks while they undo one another.
+    """
     q = np.asarray(query, dtype=float)
     rng = np.random.default_rng(seed)
     unit = q / max(np.linalg.norm(q), 1e-300)
@@ -336,25 +342,33 @@ def diffusion_search(query, generations: int = 30, population: int = 50, diffusi
         n = np.linalg.norm(x, axis=-1)
         return np.where(n > 0, 1 - (x @ unit) / np.where(n > 0, n, 1), 1.0)
 
-    pop = rng.uniform(-1, 1, (population, len(q)))
+    d, few = len(q), max(1, population // 4)
+    weight = np.log(few + 0.5) - np.log(np.arange(1, few + 1))
+    weight /= weight.sum()
+    mass = 1 / (weight**2).sum()
+    keep = (mass + 2) / (d + mass + 5)
+    usual = np.sqrt(d) * (1 - 1 / (4 * d) + 1 / (21 * d * d))  # length of a standard normal vector
+    pop = rng.uniform(-1, 1, (population, d))
     score = fit(pop)
-    best = pop[score.argmin()].copy()
+    order = np.argsort(score, kind="stable")
+    mean, sigma, drift = weight @ pop[order[:few]], 0.5, np.zeros(d)
+    best, best_fit = pop[order[0]].copy(), float(score[order[0]])
     history = []
-    for g in range(1, generations + 1):
-        step = np.log(g + 1) / (g + 1)
+    for _ in range(generations):
         for _ in range(max(1, diffusion)):
-            sigma = np.abs(step * (pop - best)) + 1e-12
-            centre = best if rng.random() < walk else pop
-            trial = np.clip(rng.normal(centre, sigma) + rng.random((population, 1)) * (best - pop), -1, 1)
-            # a pull towards the best direction keeps high dimensions converging
-            trial = np.vstack([trial, np.clip(best + (unit * np.linalg.norm(best) - best) * rng.random((population, 1)), -1, 1)])
-            s = fit(trial)
-            both, all_s = np.vstack([pop, trial]), np.r_[score, s]
-            keep = np.argsort(all_s, kind="stable")[:population]
-            pop, score = both[keep], all_s[keep]
-            best = pop[0].copy()
-        history.append(float(score[0]))
-    return {"dim": len(q), "generations": generations, "population_size": population, "best_point": best.tolist(), "best_fit": float(score[0]), "best_fit_per_gen": history}
+            elite = pop[order[:few]]
+            own = rng.random(population) >= walk
+            centre = np.where(own[:, None], 0.9 * mean + 0.1 * elite[rng.integers(0, len(elite), population)], mean)
+            pop = np.clip(centre + sigma * rng.normal(size=(population, d)), -1, 1)
+            score = fit(pop)
+            order = np.argsort(score, kind="stable")
+            if score[order[0]] < best_fit:
+                best, best_fit = pop[order[0]].copy(), float(score[order[0]])
+            new = weight @ pop[order[:few]]
+            drift = (1 - keep) * drift + np.sqrt(keep * (2 - keep) * mass) * (new - mean) / sigma
+            mean, sigma = new, float(np.clip(sigma * np.exp(keep * (np.linalg.norm(drift) / usual - 1)), 1e-9, 1.0))
+        history.append(best_fit)
+    return {"dim": d, "generations": generations, "population_size": population, "best_point": best.tolist(), "best_fit": best_fit, "best_fit_per_gen": history}
 
 
 def _long_only(mu: np.ndarray, cov: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ def _series(df: DataFrame, order: str, value: str) -> list[float]:
 def retrieve(session, question: str, df: DataFrame, id: str, vec: str, k: int | None = None, lam: float | None = None) -> DataFrame:
     """Rows for a question: its embedding, a diverse choice, and the rows without their vectors."""
     hits = S.mmr(df, id, vec, session.embed(question), k or int(session.config_get("default_k")), float(session.config_get("mmr_lambda") if lam is None else lam))
-    return S.fetch_rows(df, id, hits.select(id, "rank", "relevance"), [vec]).limit(int(session.config_get("max_context_rows"))).orderBy("rank")
+    return S.fetch_rows(df, id, hits.select(id, "rank", "relevance"), [vec]).orderBy("rank").limit(int(session.config_get("max_context_rows")))
 
 
 def search_agent(session, question: str, df: DataFrame, id: str, vec: str, k: int | None = None) -> dict:
@@ -45,8 +45,17 @@ def search_agent(session, question: str, df: DataFrame, id: str, vec: str, k: in
     return _text(session, question, {"source_doc_ids": [r[id] for r in rows], "rows": rows}, "answer")
 
 
-def rag_agent(session, question: str, df: DataFrame, id: str, vec: str, k: int | None = None) -> dict:
-    return {"answer": search_agent(session, question, df, id, vec, k)["answer"]}
+def rag_agent(session, question: str, df: DataFrame, id: str, vec: str, k: int | None = None, where: dict | None = None) -> dict:
+    """The answer from retrieved rows; `where` restricts them, before any distance, to rows whose columns have the given values (a list: any of them)."""
+    return {"answer": search_agent(session, question, filtered(df, where), id, vec, k)["answer"]}
+
+
+def filtered(df: DataFrame, where: dict | None) -> DataFrame:
+    for c, v in (where or {}).items():
+        if c not in df.columns:
+            raise ValueError(f"no column {c}")
+        df = df.where(F.col(c).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+    return df
 
 
 def recall_hybrid(df: DataFrame, id: str, vec: str, query: list[float], content: str, filter_col: str | None = None, filter_value=None, k: int = 5) -> DataFrame:
@@ -121,10 +130,10 @@ def deterioration_triage(session, df: DataFrame, id: str, vec: str, query: list[
     return _text(session, "deterioration triage", {"nearest_cohort_id": matches[0][id], "cohort_distance": matches[0]["distance"], "drift_distance": drift.distance, "cohort_matches": matches})
 
 
-def feedback_audit(session, catalog: DataFrame, id: str, vec: str, warm: DataFrame, warm_vec: str, n: int = 8, k: int = 3) -> dict:
-    """Diversity of recent queries: the warm-up vectors are searched one after another while diversifying."""
+def feedback_audit(session, catalog: DataFrame, id: str, vec: str, warm: DataFrame, warm_vec: str, n: int = 8, k: int = 3, order: str | None = None) -> dict:
+    """Diversity of recent queries: the first n warm-up vectors, by `order` or else by their values, are searched one after another while diversifying."""
     session.diversify_enable()
-    for r in warm.select(warm_vec).limit(n).collect():
+    for r in warm.orderBy(order or warm_vec).select(warm_vec).limit(n).collect():
         session.search(catalog, id, vec, [float(x) for x in r[0]], k)
     return {"diversity_quotient": session.current_dq(), "explanation": session.explain_result()}
 

@@ -13,7 +13,7 @@ import hmac
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.runtime import shared_dir
@@ -27,6 +27,13 @@ def entry_hash(prev_hash: str, payload: str, mac: str) -> str:
     return hashlib.sha256(bytes.fromhex(prev_hash) + payload.encode() + bytes.fromhex(mac)).hexdigest()
 
 
+def hmac_column(key: bytes, text: Column) -> Column:
+    """HMAC-SHA-256 of a text as hex, by two nested hashes."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+
+
 def chain(payloads: list[str], kind: int, first_id: int = 1, prev_hash: str = GENESIS, key: bytes | None = None, actor: str = "") -> list[tuple]:
     rows = []
     for k, p in enumerate(payloads):
@@ -37,10 +44,10 @@ def chain(payloads: list[str], kind: int, first_id: int = 1, prev_hash: str = GE
     return rows
 
 
-def chain_frame(df: DataFrame, id: str, payload: str, kind: int) -> DataFrame:
-    """Ledger rows of a bounded batch of a table, in the order of its ids, chained in one task.
+def chain_frame(df: DataFrame, id: str, payload: str, kind: int | Column) -> DataFrame:
+    """Ledger rows of a table, in the order of its ids: every kind has a chain of its own, and a task.
 
-    For batches as appended (one key's worth); a chain has no parallel form.
+    A chain has no parallel form, so a kind should be a bounded batch (as appended, one key's worth).
     """
     def run(pdf):
         pdf = pdf.sort_values("id")
@@ -48,7 +55,7 @@ def chain_frame(df: DataFrame, id: str, payload: str, kind: int) -> DataFrame:
 
         return pd.DataFrame(chain(pdf["payload"].tolist(), int(pdf["kind"].iloc[0])), columns=[c.split()[0] for c in SCHEMA.split(", ")]).assign(id=pdf["id"].to_numpy())
 
-    rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(payload).alias("payload"), F.lit(kind).alias("kind"))
+    rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(payload).alias("payload"), (F.lit(kind) if isinstance(kind, int) else kind).cast("int").alias("kind"))
     return rows.groupBy("kind").applyInPandas(run, SCHEMA)
 
 
@@ -69,8 +76,7 @@ def verify(rows: DataFrame, kind: int | None = None, key: bytes | None = None, w
     computed = F.sha2(F.concat(F.unhex("prev_hash"), F.encode("payload", "UTF-8"), F.unhex("mac")), 256)
     reason = F.when(F.col("prev_hash") != F.col("prior"), "broken link").when(F.col("entry_hash") != computed, "hash mismatch")
     if key is not None:
-        mac = F.udf(lambda p: hmac.new(key, p.encode(), hashlib.sha256).hexdigest(), "string")
-        reason = reason.when(F.col("mac") != mac("payload"), "bad signature")
+        reason = reason.when(F.col("mac") != hmac_column(key, F.col("payload")), "bad signature")
     bad = r.select("id", reason.alias("reason"))
     seen = rows.agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     out = bad.agg(F.count(F.lit(1)).alias("rows_verified"), F.min(F.when(F.col("reason").isNotNull(), F.struct("id", "reason"))).alias("f"))
@@ -107,15 +113,25 @@ class Ledger:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA + ", batch bigint").option("basePath", self.path).parquet(self.path).drop("batch")
 
     def append(self, payloads: list[str], kind: int) -> int:
+        """Append rows to the chain of a kind; raises if another writer has appended in the meantime.
+
+        A batch is written under the name of the id it begins with: of two writers that read
+        the same tip only one can make that folder.
+        """
         rows = self.rows()
         last = rows.agg(F.max("id")).head()[0] or 0
         tip = rows.where(F.col("kind") == kind).agg(F.max_by("entry_hash", "id")).head()[0] or GENESIS
         new = chain(payloads, kind, last + 1, tip, self.key, self.actor)
         if new:
-            self.spark.createDataFrame(new, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            try:
+                self.spark.createDataFrame(new, SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/batch={last + 1}")
+            except Exception as e:
+                if "ALREADY_EXISTS" in str(e):
+                    raise RuntimeError("another writer has appended to this ledger") from None
+                raise
             self.watermark = new[-1][0]
         return len(new)
 
@@ -173,20 +189,35 @@ class Ledger:
                 self.shadow = json.loads(r["payload"])
 
     def compact(self) -> int:
-        """Drop superseded state rows in memory: of repeated signals on one document the last stays."""
+        """Drop superseded entries: of repeated signals on one document the last stays; what stays becomes the stored state."""
         self._free()
         before = len(self.truth) + len(self.shadow)
         self.truth = list({(e["doc_id"], e["signal"]): e for e in self.truth}.values())
         self.shadow = list({e["doc_id"]: e for e in self.shadow}.values())
-        return before - len(self.truth) - len(self.shadow)
+        gone = before - len(self.truth) - len(self.shadow)
+        if gone:
+            for kind, items in ((TRUTH, self.truth), (SHADOW, self.shadow)):
+                self._store(kind, items)
+        return gone
+
+    def _store(self, kind: int, items: list[dict]) -> None:
+        """Make `items` the stored state of a kind where another one is stored."""
+        text = json.dumps(items, sort_keys=True)
+        stored = self.rows().where(F.col("kind") == kind).agg(F.max_by("payload", "id")).head()[0]
+        if stored is not None and stored != text:
+            self.append([text], kind)
 
     def reset_soft(self) -> None:
+        """Forget the shadow; the empty state is appended, so loading does not bring it back."""
         self._free()
         self.shadow = []
+        self._store(SHADOW, [])
 
     def reset_hard(self) -> None:
         self._free()
         self.truth, self.shadow, self.epoch = [], [], 1
+        self._store(TRUTH, [])
+        self._store(SHADOW, [])
 
     def verify(self, kind: int | None = None) -> dict:
         return verify(self.rows(), kind, self.key, self.watermark).head().asDict()

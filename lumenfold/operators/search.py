@@ -36,13 +36,13 @@ def vector_of(df: DataFrame, id: str, vec: str, value) -> list[float]:
     return [float(x) for x in row[0]]
 
 
-def knn(df: DataFrame, id: str, vec: str, query: list[float], k: int, metric: str = "cosine", penalty: Column | None = None) -> DataFrame:
-    """(id, distance): the k rows nearest to the query."""
+def knn(df: DataFrame, id: str, vec: str, query: list[float], k: int, metric: str = "cosine", penalty: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(id, distance): the k rows nearest to the query, with the columns `keep`."""
     if k <= 0:
         raise ValueError("k must be positive")
     d = METRICS[metric](F.col(vec), query)
     d = d if penalty is None else d + penalty
-    return df.select(F.col(id), d.alias("distance")).orderBy("distance", id).limit(k)
+    return df.select(F.col(id), d.alias("distance"), *(keep or [])).orderBy("distance", id).limit(k)
 
 
 def hybrid_knn(df: DataFrame, id: str, vec: str, query: list[float], cohort: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -81,7 +81,7 @@ def repulsion(vec: str, shadows: list[list[float]], sigma: float = 0.3, weight:
     return F.lit(float(weight)) * total
 
 
-def knn_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str, vec: str, k: int, block: int = 4096) -> DataFrame:
+def knn_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str, vec: str, k: int, block: int = 4096, part: int = 50_000) -> DataFrame:
     """(left_id, right_id, distance, rank): for every left row its k nearest right rows by cosine.
 
     `left` is a stated query set. It is cut into blocks of rows by hash; every block meets
@@ -91,7 +91,8 @@ def knn_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str, vec
     blocks = max(1, -(-left.count() // block))
     q = left.select(F.col(left_id).cast("string").alias("q"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(left_id), F.lit(blocks)).alias("b"))
     r = right.select(F.col(right_id).alias("r"), F.col(vec).cast("array<double>").alias("v"))
-    parts = max(1, right.sparkSession.sparkContext.defaultParallelism)
+    # a part has at most `part` rows, however many there are in all
+    parts = max(right.sparkSession.sparkContext.defaultParallelism, -(-right.count() // part))
     r = r.withColumn("p", F.pmod(F.xxhash64("r"), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     q = q.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     rtype = right.schema[right_id].dataType.simpleString()
@@ -107,7 +108,13 @@ def knn_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str, vec
         y, ids = y[order], ids[order]
         for s in range(0, len(x), 256):
             d = 1 - x[s:s + 256] @ y.T
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            m = min(k, d.shape[1])
+            # all that tie with the last one are looked at, so the first ids win
+            last = np.partition(d, m - 1, axis=1)[:, m - 1]
+            row, col = np.nonzero(d <= last[:, None])
+            by = np.lexsort((col, d[row, col], row))
+            row, col = row[by], col[by]
+            top = col[np.searchsorted(row, np.arange(len(d)))[:, None] + np.arange(m)]
             out.append(pd.DataFrame({"q": np.repeat(a["q"].to_numpy()[s:s + 256], top.shape[1]), "r": ids[top].ravel(), "distance": np.take_along_axis(d, top, axis=1).ravel()}))
         return pd.concat(out)
 

@@ -15,7 +15,7 @@ from lumenfold.plans.relational import SQL as RELATIONAL_SQL
 from lumenfold.plans.relational import views
 from lumenfold.plans.series_queries import SQL as SERIES_SQL
 from lumenfold.plans.series_queries import drift_sql, hourly
-from lumenfold.plans.vector_queries import COS, L2, WITH_Q, embeddings, query_vector
+from lumenfold.plans.vector_queries import COS, L2, WITH_Q, embeddings, mmr_sql, query_vector
 from lumenfold.runtime import shared_dir
 from lumenfold.session import Session
 from lumenfold.sources.tables import table
@@ -31,12 +31,10 @@ def _one(spark: SparkSession, row: dict) -> DataFrame:
     return spark.createDataFrame([flat])
 
 
-# ---- ledger: the nations' names as the payloads of one kind; a chain is appended sequentially, so a small table of fixed size was chosen.
-# verify's link across blocks of 65,536 ids is not reached by these queries
+# ---- ledger: the customers' names as payloads, one chain for each nation
 
 def _ledger_rows(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "nation")
-    return L.chain_frame(c.select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("payload")), "id", "payload", L.AUDIT)
+    return L.chain_frame(table(spark, folder, "customer"), "c_custkey", "c_name", F.col("c_nationkey"))
 
 
 def ledger_chain(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +57,27 @@ def ledger_latest_per_kind(spark: SparkSession, folder: str) -> DataFrame:
     return L.latest_per_kind(_ledger_rows(spark, folder)).select("kind", "id", "payload")
 
 
+def ledger_hmac(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", L.hmac_column(b"k1", F.col("c_name")).alias("mac"))
+
+
+def ledger_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """What is loaded after feedback, after compaction, after a soft and after a hard reset, by a new session each time."""
+    path = f"{shared_dir(spark)}/lumenfold/ledger-{uuid.uuid4().hex}"
+    g = L.Ledger(spark, path)
+    for doc, signal in ((1, "positive"), (1, "positive"), (2, "dwell"), (3, "negative")):
+        g.report(doc, signal)
+    g.flush()
+    out = []
+    for step in ("flushed", "compacted", "soft", "hard"):
+        if step != "flushed":
+            {"compacted": g.compact, "soft": g.reset_soft, "hard": g.reset_hard}[step]()
+        other = L.Ledger(spark, path)
+        other.load()
+        out.append((step, len(other.truth), len(other.shadow), other.verify()["ok"]))
+    return spark.createDataFrame(out, "step string, truth int, shadow int, ok boolean")
+
+
 # ---- queue over the documents
 
 def _queue(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,6 +116,16 @@ def queue_embedded(spark: SparkSession, folder: str) -> DataFrame:
     return v.process_queue(NOW)[1].select("pk", F.size("embedding").alias("dims"))
 
 
+def queue_vanished(spark: SparkSession, folder: str) -> DataFrame:
+    """One round of the queue after the documents without a language were deleted: their keys fail."""
+    d = table(spark, folder, "documents").select("doc_id", "text", "lang", F.lit(None).cast("array<float>").alias("emb"))
+    v = Q.Vectorizer(spark, Session(spark).embedder)
+    v.create(d, "documents", "doc_id", "text", "emb", NOW)
+    v.registry[1]["source"] = d.where("lang IS NOT NULL")
+    v.process_queue(NOW)
+    return v.queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 _QUEUE_SQL = f"""WITH q AS (SELECT 1 AS vectorizer_id, doc_id AS pk, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
   {NOW} - doc_id * 60 AS updated_at, CASE WHEN doc_id % 4 = 3 THEN 'e' || doc_id END AS error FROM documents WHERE text IS NOT NULL)"""
 
@@ -104,7 +133,7 @@ _QUEUE_SQL = f"""WITH q AS (SELECT 1 AS vectorizer_id, doc_id AS pk, CASE doc_id
 
 def diversify_dq(spark: SparkSession, folder: str) -> DataFrame:
     s, e = Session(spark), embeddings(spark, folder)
-    r = A.feedback_audit(s, e, "vec_id", "embedding", e.orderBy("vec_id"), "embedding", 5, 3)
+    r = A.feedback_audit(s, e, "vec_id", "embedding", e, "embedding", 5, 3, "vec_id")
     return _one(spark, {"diversity_quotient": r["diversity_quotient"]})
 
 
@@ -135,7 +164,7 @@ def _without(row: dict, *keys: str) -> dict:
 
 
 QUERIES: dict = {}
-for _f in (ledger_chain, ledger_verify_ok, ledger_verify_tampered, ledger_verify_gap, ledger_latest_per_kind, queue_backfill, queue_claim_oldest, queue_retention, queue_status_view, queue_embedded, diversify_dq, feedback_penalty):
+for _f in (ledger_chain, ledger_verify_ok, ledger_verify_tampered, ledger_verify_gap, ledger_latest_per_kind, queue_backfill, queue_claim_oldest, queue_retention, queue_status_view, queue_embedded, queue_vanished, ledger_hmac, ledger_reset, diversify_dq, feedback_penalty):
     QUERIES[_f.__name__] = _f
 
 _agent("anomaly_triage", lambda s, spark, d, e: _one(spark, _without(A.anomaly_triage(s, hourly(spark, d), "cents", "hour", "event_type", "error", 128), "triage_summary")))
@@ -143,7 +172,7 @@ _agent("allocate", lambda s, spark, d, e: _one(spark, {"sharpe": A.allocate(s, *
 _agent("route_task", lambda s, spark, d, e: _one(spark, _without(A.route_task(s, e, "vec_id", "embedding", query_vector(spark, d, 3), 1000.0), "rationale")))
 _agent("outlier_intercept", lambda s, spark, d, e: _one(spark, _without(A.outlier_intercept(s, e, "vec_id", "embedding", query_vector(spark, d, 4), 0.1, "l2"), "reason")))
 _agent("recall_hybrid", lambda s, spark, d, e: A.recall_hybrid(e, "vec_id", "embedding", query_vector(spark, d), "label", "label", 3, 5))
-_agent("recommend_diverse", lambda s, spark, d, e: A.recommend_diverse(s, e, "vec_id", "embedding", query_vector(spark, d)).select("item_id", (F.round("score", 6) + 0.0).alias("score")))
+_agent("recommend_diverse", lambda s, spark, d, e: _second_page(s, spark, d, e).select("item_id", (F.round("score", 6) + 0.0).alias("score")))
 _agent("plan_explore", lambda s, spark, d, e: A.plan_explore(e, "vec_id", "embedding", query_vector(spark, d), 8).select("branch_id", "plan", F.round("confidence_score", 6).alias("confidence_score")))
 _agent("trajectory_predict", lambda s, spark, d, e: _one(spark, _without(A.trajectory_predict(s, e, "vec_id", "embedding", 0), "predicted_state_vector")))
 _agent("detect_loop", lambda s, spark, d, e: _one(spark, A.detect_loop(e, "vec_id", "embedding", "all")))
@@ -158,9 +187,17 @@ _agent("network_coverage_alert", lambda s, spark, d, e: _one(spark, _without(A.c
 _agent("regime_triage", lambda s, spark, d, e: _one(spark, _without(A.regime_triage(s, _signup_series(spark, d)), "rationale")))
 _agent("diverse_portfolios", lambda s, spark, d, e: spark.createDataFrame([(r["candidate_id"], round(r["sharpe"], 6)) for r in A.diverse_portfolios(s, *_market(spark, d), 2, 16, 0.34, 0.5, 1)], "candidate_id int, sharpe double"))
 _agent("search", lambda s, spark, d, e: spark.createDataFrame([(int(x),) for x in A.search_agent(s, "which cells are typical", e, "vec_id", "embedding")["source_doc_ids"]], "vec_id bigint"))
+_agent("rag_filtered", lambda s, spark, d, e: A.retrieve(s, "which cells are typical", A.filtered(e, {"label": [3, 5]}), "vec_id", "embedding", 20).groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 _agent("rag", lambda s, spark, d, e: _one(spark, A.rag_agent(s, "which cells are typical", e, "vec_id", "embedding")))
 
 
+def _second_page(s: Session, spark: SparkSession, folder: str, e: DataFrame) -> DataFrame:
+    """What is recommended when the same is asked again: away from the rows shown first."""
+    q = query_vector(spark, folder)
+    A.recommend_diverse(s, e, "vec_id", "embedding", q)
+    return A.recommend_diverse(s, e, "vec_id", "embedding", q)
+
+
 def _trace(spark: SparkSession, folder: str) -> list[float]:
     from lumenfold.plans.series_queries import _points
 
@@ -236,9 +273,10 @@ def stream_cycle_state(spark: SparkSession, folder: str) -> DataFrame:
 for _f in (schema_context, t2s_validator_matrix, stream_tumbling, stream_sessions, stream_sliding, stream_dedup, stream_cycle_state):
     QUERIES[_f.__name__] = _f
 
-_HASH = """WITH RECURSIVE n AS (SELECT n_nationkey + 1 AS id, n_name AS payload FROM nation),
-c AS (SELECT id, payload, sha256(unhex(repeat('00', 32)) || encode(payload)) AS entry_hash FROM n WHERE id = 1
-  UNION ALL SELECT n.id, n.payload, sha256(unhex(c.entry_hash) || encode(n.payload)) FROM c JOIN n ON n.id = c.id + 1)"""
+_HASH = """WITH RECURSIVE n AS (SELECT c_nationkey AS kind, c_custkey AS id, c_name AS payload, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+c AS (SELECT kind, k, id, payload, sha256(unhex(repeat('00', 32)) || encode(payload)) AS entry_hash FROM n WHERE k = 1
+  UNION ALL SELECT n.kind, n.k, n.id, n.payload, sha256(unhex(c.entry_hash) || encode(n.payload)) FROM c JOIN n ON n.kind = c.kind AND n.k = c.k + 1)"""
+_PAD = {x: bytes(b ^ x for b in b"k1".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)}
 _REP = WITH_Q + f""", s AS (SELECT embedding::DOUBLE[] AS s FROM embeddings WHERE vec_id = 0),
   d AS (SELECT vec_id, {COS} + 0.5 * exp(-list_sum(list_transform(list_zip(e, s), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / 0.18) AS d FROM e, s)
   SELECT vec_id, round(d, 6) + 0.0 AS distance FROM d ORDER BY d.d, vec_id LIMIT 10"""
@@ -250,10 +288,16 @@ def _near(id: int, distance: str = COS) -> str:
 
 SQL = {
     "ledger_chain": _HASH + " SELECT id, payload, entry_hash FROM c",
-    "ledger_verify_ok": "SELECT true AS ok, count(*) AS rows_verified, CAST(NULL AS BIGINT) AS first_failure_id, CAST(NULL AS VARCHAR) AS reason FROM nation",
-    "ledger_verify_tampered": "SELECT false AS ok, count(*) AS rows_verified, 7::BIGINT AS first_failure_id, 'hash mismatch' AS reason FROM nation",
-    "ledger_verify_gap": "SELECT false AS ok, count(*) - 1 AS rows_verified, 8::BIGINT AS first_failure_id, 'broken link' AS reason FROM nation",
-    "ledger_latest_per_kind": "SELECT 2 AS kind, max(n_nationkey) + 1::BIGINT AS id, max_by(n_name, n_nationkey) AS payload FROM nation",
+    "ledger_verify_ok": "SELECT true AS ok, count(*) AS rows_verified, CAST(NULL AS BIGINT) AS first_failure_id, CAST(NULL AS VARCHAR) AS reason FROM customer",
+    "ledger_verify_tampered": "SELECT false AS ok, count(*) AS rows_verified, 7::BIGINT AS first_failure_id, 'hash mismatch' AS reason FROM customer",
+    "ledger_verify_gap": """SELECT false AS ok, count(*) - 1 AS rows_verified, min(c_custkey) FILTER (WHERE c_custkey > 7 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 7)) AS first_failure_id,
+      'broken link' AS reason FROM customer""",
+    "ledger_latest_per_kind": "SELECT c_nationkey AS kind, max(c_custkey) AS id, max_by(c_name, c_custkey) AS payload FROM customer GROUP BY c_nationkey",
+    "ledger_hmac": f"SELECT c_custkey, sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(c_name)))) AS mac FROM customer",
+    "ledger_reset": "SELECT * FROM (VALUES ('flushed', 3, 1, true), ('compacted', 2, 1, true), ('soft', 2, 0, true), ('hard', 0, 0, true)) t(step, truth, shadow, ok)",
+    "queue_embedded": "SELECT doc_id AS pk, 64 AS dims FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 85",
+    "queue_vanished": """SELECT CASE WHEN n > 85 THEN 'pending' WHEN lang IS NULL THEN 'failed' ELSE 'done' END AS status, count(*) AS n
+      FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
     "queue_backfill": "SELECT 1 AS vectorizer_id, doc_id AS pk, 'pending' AS status FROM documents WHERE text IS NOT NULL",
     "queue_claim_oldest": _QUEUE_SQL + f" SELECT pk, 'processing' AS status FROM q WHERE status = 'pending' OR (status = 'processing' AND {NOW} - updated_at > 600) ORDER BY updated_at, pk LIMIT 85",
     "queue_retention": _QUEUE_SQL + f" SELECT status, count(*) AS n FROM q WHERE NOT ((status = 'done' AND {NOW} - updated_at > 3600) OR (status = 'failed' AND {NOW} - updated_at > 86400)) GROUP BY status",
@@ -262,7 +306,10 @@ SQL = {
       max_by(error, updated_at) FILTER (WHERE status = 'failed') AS last_error FROM q UNION ALL SELECT 2, 'empty', 0, 0, 0, 0, NULL, NULL""",
     "feedback_penalty": _REP,
     "agent_recall_hybrid": WITH_Q + f"SELECT vec_id AS mem_id, label AS content FROM (SELECT vec_id, label, {COS} AS d FROM e WHERE label = 3) ORDER BY d, vec_id LIMIT 5",
-    "agent_recommend_diverse": WITH_Q + f"SELECT vec_id AS item_id, round(1 - d, 6) + 0.0 AS score FROM (SELECT vec_id, {COS} AS d FROM e) ORDER BY d, vec_id LIMIT 10",
+    "agent_recommend_diverse": WITH_Q + f""", d AS (SELECT vec_id, e, {COS} AS d FROM e), s AS (SELECT e AS s FROM d ORDER BY d, vec_id LIMIT 10),
+      p AS (SELECT d.vec_id, any_value(d.d) + 0.5 * sum(exp(-list_sum(list_transform(list_zip(d.e, s.s), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / 0.18)) AS d FROM d, s GROUP BY d.vec_id)
+      SELECT vec_id AS item_id, round(1 - d, 6) + 0.0 AS score FROM p ORDER BY d, vec_id LIMIT 10""",
+    "agent_plan_explore": mmr_sql(8, 0.5, "rank - 1 AS branch_id, vec_id AS plan, round(relevance, 6) AS confidence_score"),
     "agent_route_task": _near(3) + " SELECT vec_id AS routed_to, round(1 / (1 + d), 6) AS confidence, 850.0::DOUBLE AS remaining_budget FROM r",
     "agent_schedule_workload": _near(5) + " SELECT vec_id AS assigned_node FROM r",
     "agent_data_analyst": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey",

@@ -171,6 +171,20 @@ def search_debug(spark: SparkSession, folder: str) -> DataFrame:
     return one.select("vec_id", r.alias("r")).select("vec_id", "r.dim", "r.generations", "r.population_size", F.round("r.best_fit", 6).alias("best_fit"))
 
 
+def mmr_sql(k: int, lam: float, shown: str) -> str:
+    """Greedy choice pick by pick: a subquery for each, which scores all rows against those picked before."""
+    steps = [WITH_Q + ", c AS MATERIALIZED (SELECT vec_id, e, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS rel FROM e)"]
+    for r in range(1, k + 1):
+        if r == 1:
+            steps.append(f"p1 AS MATERIALIZED (SELECT vec_id, e, rel AS relevance, 1 AS rank FROM c ORDER BY round({lam} * rel, 12) DESC, vec_id LIMIT 1)")
+        else:
+            steps.append(f"""n{r} AS (SELECT c.vec_id, any_value(c.e) AS e, any_value(c.rel) AS relevance, {r} AS rank, round({lam} * any_value(c.rel) - (1 - {lam}) * max(
+              list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e, p.e)))), 12) AS score
+              FROM c, p{r - 1} p WHERE c.vec_id NOT IN (SELECT vec_id FROM p{r - 1}) GROUP BY c.vec_id ORDER BY score DESC, c.vec_id LIMIT 1),
+              p{r} AS MATERIALIZED (SELECT * FROM p{r - 1} UNION ALL SELECT vec_id, e, relevance, rank FROM n{r})""")
+    return ", ".join(steps) + f" SELECT {shown} FROM p{k}"
+
+
 def _knn_sql(distance: str, k: int, where: str = "", by: str = "vec_id") -> str:
     return WITH_Q + f"SELECT vec_id, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id, {distance} AS d FROM e {where}) ORDER BY d, {by} LIMIT {k}"
 
@@ -204,3 +218,4 @@ SQL |= {
         SELECT vec_id, round(d, 6) + 0.0 AS distance FROM d ORDER BY d.d, vec_id LIMIT 10""",
     "fetch_hits": WITH_Q + f"SELECT vec_id, label, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id, label, {COS} AS d FROM e) ORDER BY d, vec_id LIMIT 10",
 }
+SQL["scout_mmr"] = mmr_sql(12, 0.5, "vec_id, rank, round(relevance, 6) + 0.0 AS relevance")

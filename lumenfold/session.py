@@ -65,6 +65,7 @@ class Diversify:
     weight: float = 0.5
     max_shadows: int = 64
     tail: int = 256
+    stall: float = 0.15
 
 
 @dataclass
@@ -76,6 +77,7 @@ class Session:
     diversify: Diversify = field(default_factory=Diversify)
     queries: deque = field(default_factory=lambda: deque(maxlen=32))
     shadows: dict[int, list[float]] = field(default_factory=dict)
+    shown: list[list[float]] = field(default_factory=list)
     overhead_us: deque = field(default_factory=lambda: deque(maxlen=1000))
     ledger: Ledger | None = None
 
@@ -123,18 +125,34 @@ class Session:
 
     def diversify_set_params(self, **params: float) -> None:
         for k, v in params.items():
-            if k not in ("window", "sigma", "weight", "max_shadows", "tail") or not v > 0 or (k == "window" and v > 32):
+            if k not in ("window", "sigma", "weight", "max_shadows", "tail", "stall") or not v > 0 or (k == "window" and v > 32):
                 raise ValueError(f"{k}={v}")
             setattr(self.diversify, k, v)
 
     def search(self, df: DataFrame, id: str, vec: str, query: list[float], k: int) -> DataFrame:
-        """knn that keeps away from shown and rejected vectors while diversifying; remembers the query."""
-        began = time.perf_counter()
+        """knn; while diversifying it keeps away from rejected vectors and from those shown before.
+
+        Diversified searches run at once, as their k rows are remembered as shown: the newest
+        max_shadows vectors, shown and rejected together, push away. What that costs over
+        a plain search is the time to put up the penalty and to remember the rows.
+        """
         self.queries.append(list(query))
-        shadows = list(self.shadows.values())[-int(self.diversify.max_shadows):]
-        penalty = S.repulsion(vec, shadows, self.diversify.sigma, self.diversify.weight) if self.diversify.enabled and shadows else None
-        self.overhead_us.append((time.perf_counter() - began) * 1e6)
-        return S.knn(df, id, vec, query, k, penalty=penalty)
+        if not self.diversify.enabled:
+            return S.knn(df, id, vec, query, k)
+        began = time.perf_counter()
+        away = [*self.shadows.values(), *self.shown][-int(self.diversify.max_shadows):]
+        penalty = S.repulsion(vec, away, self.diversify.sigma, self.diversify.weight) if away else None
+        hits = S.knn(df, id, vec, query, k, penalty=penalty, keep=[vec])
+        before = time.perf_counter() - began
+        found = hits.collect()
+        began = time.perf_counter()
+        self.shown += [[float(x) for x in r[vec]] for r in found]
+        self.shown = self.shown[-int(self.diversify.max_shadows):]
+        out = self.spark.createDataFrame([(r[id], r["distance"]) for r in found], f"`{id}` {df.schema[id].dataType.simpleString()}, distance double")
+        self.overhead_us.append((before + time.perf_counter() - began) * 1e6)
+        while len(self.overhead_us) > int(self.diversify.tail):
+            self.overhead_us.popleft()
+        return out
 
     def isolate(self, df: DataFrame, id: str, vec: str, handle) -> None:
         """Keep later searches away from one row."""
@@ -159,6 +177,11 @@ class Session:
 
     detect_collapse = current_dq
 
+    def stalled(self) -> bool:
+        """Whether the last queries have collapsed below the `stall` diversity."""
+        dq = self.current_dq()
+        return dq is not None and dq < self.diversify.stall
+
     def overhead_p99_us(self) -> float | None:
         return float(np.percentile(self.overhead_us, 99)) if self.overhead_us else None
 

@@ -136,11 +136,15 @@ class Vectorizer:
         for k, v in self.registry.items():
             free, start = rate_allowed(*self.used.get(k, (0, now)), now, v["cap"], v["window_secs"])
             mine = claimed.where(F.col("vectorizer_id") == k).orderBy("pk").limit(min(free, batch))
-            texts = mine.join(v["source"].select(F.col(v["pk"]).cast("bigint").alias("pk"), F.col(v["text"]).alias("text")), "pk").select("vectorizer_id", "pk", embed_column(self.embedder)(F.col("text")).alias("e"))
+            # of a key delivered twice one row; a claimed key whose row or text is gone fails, or it would be claimed for ever
+            source = v["source"].select(F.col(v["pk"]).cast("bigint").alias("pk"), F.col(v["text"]).alias("text")).join(F.broadcast(mine.select("pk")), "pk", "left_semi")
+            found = mine.join(source.groupBy("pk").agg(F.max("text").alias("text")), "pk", "left")
+            there = found.where("text is not null").select("vectorizer_id", "pk", embed_column(self.embedder)(F.col("text")).alias("e")).select("vectorizer_id", "pk", "e.v", "e.error")
+            texts = there.unionByName(found.where("text is null").select("vectorizer_id", "pk", F.lit(None).cast("array<float>").alias("v"), F.lit("the row is gone").alias("error")))
             results = texts if results is None else results.unionByName(texts)
             allowed = mine.select("vectorizer_id", "pk") if allowed is None else allowed.unionByName(mine.select("vectorizer_id", "pk"))
             self.used[k] = (self.used.get(k, (0, now))[0] if start == self.used.get(k, (0, now))[1] else 0, start)
-        results = materialize(results.select("vectorizer_id", "pk", "e.v", "e.error"), "embedded")
+        results = materialize(results, "embedded")
         for r in results.where("error is null").groupBy("vectorizer_id").count().collect():
             used, start = self.used[r["vectorizer_id"]]
             self.used[r["vectorizer_id"]] = (used + r["count"], start)
