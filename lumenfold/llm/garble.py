@@ -102,6 +102,34 @@ def undo(word: str, k: int) -> str | None:
     return out if out != word else None
 
 
+#: The chains by what the text was wrongly read as and how often.
+_BY_WRONG: dict[tuple[str, int], list[tuple[int, str]]] = {}
+for _k, (_right, _wrong, _times) in enumerate(CHAINS):
+    if _k > LOST:
+        _BY_WRONG.setdefault((_wrong, _times), []).append((_k, _right))
+
+
+def undo_all(word: str) -> list[tuple[int, str]]:
+    """(chain, word before it) of all chains that undo() takes back, in the order of the chains."""
+    out = []
+    for (wrong, times), chains in _BY_WRONG.items():
+        if times > 1:
+            out += [(k, back) for k, _ in chains if (back := undo(word, k)) is not None]
+            continue
+        try:
+            raw = word.translate(_to_bytes(wrong)).encode("latin-1")
+        except UnicodeError:
+            continue
+        for k, right in chains:
+            try:
+                back = raw.decode(right)
+            except UnicodeError:
+                continue
+            if back != word:
+                out.append((k, back))
+    return sorted(out)
+
+
 # ---- character model ----------------------------------------------------------------------
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -166,12 +194,28 @@ def base_cost(b: str, c: str) -> float:
     return cost
 
 
-def _h3(a: str, b: str, c: str) -> int:
-    return (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D + (ord(a) ^ ord(c)) * 0x27D4EB2F >> 7) & (TRIGRAMS - 1)
+#: Code points of the border of a word and of a lost character.
+BORDER, LOST_CHAR = ord("^"), 0xFFFD
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every character of the words and of the border behind each: its code point, those of the two before it, and where the words begin."""
+    c = np.frombuffer("".join(w + "^" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    size = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
+    first = np.cumsum(size) - size
+    b = np.r_[BORDER, c[:-1]]
+    b[first] = BORDER
+    a = np.r_[BORDER, b[:-1]]
+    a[first] = BORDER
+    return c, b, a, first
 
 
-def _h2(b: str, c: str) -> int:
-    return (ord(b) * 0x9E3779B1 + ord(c) * 0x85EBCA77 >> 9) & (BIGRAMS - 1)
+def _h3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D + (a ^ c) * 0x27D4EB2F >> 7) & (TRIGRAMS - 1)
+
+
+def _h2(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (b * 0x9E3779B1 + c * 0x85EBCA77 >> 9) & (BIGRAMS - 1)
 
 
 @dataclass
@@ -182,34 +226,18 @@ class CharModel:
     two: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
     one: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
 
-    def cost(self, word: str) -> float:
-        """-log probability of a word; a replacement character costs what it did at first."""
-        a, b, total = "^", "^", 0.0
-        learned = len(self.one) > 0
-        three, two, one = self.three, self.two, self.one
-        for c in word + "^":
-            base = base_cost(b, c)
-            if learned and c != "�" and b != "�":
-                n2 = float(two[_h2(a, b)])
-                n1 = float(one[ord(b) & (SINGLES - 1)])
-                p = (float(two[_h2(b, c)]) + 4.0 * exp(-base)) / (n1 + 4.0)
-                p = (float(three[_h3(a, b, c)]) + 2.0 * p) / (n2 + 2.0)
-                total -= log(min(1.0, p))
-            else:
-                total += base
-            a, b = b, c
-        return total
-
-
-def grams(word: str) -> tuple[list[int], list[int], list[int]]:
-    three, two, one = [], [_h2("^", "^")], [ord("^")]
-    a, b = "^", "^"
-    for c in word + "^":
-        three.append(_h3(a, b, c))
-        two.append(_h2(b, c))
-        one.append(ord(c) & (SINGLES - 1))
-        a, b = b, c
-    return three, two, one
+    def costs(self, words: list[str]) -> np.ndarray:
+        """-log probability of each word; a replacement character costs what it did at first."""
+        if not words:
+            return np.empty(0)
+        c, b, a, first = _codes(words)
+        pair, at = np.unique(b << 21 | c, return_inverse=True)
+        out = np.array([base_cost(chr(k >> 21), chr(k & 0x1FFFFF)) for k in pair.tolist()])[at]
+        if len(self.one):
+            p = (self.two[_h2(b, c)] + 4.0 * np.exp(-out)) / (self.one[b & (SINGLES - 1)] + 4.0)
+            p = (self.three[_h3(a, b, c)] + 2.0 * p) / (self.two[_h2(a, b)] + 2.0)
+            out = np.where((b == LOST_CHAR) | (c == LOST_CHAR), out, -np.log(np.minimum(1.0, p)))
+        return np.add.reduceat(out, first)
 
 
 # ---- inference ------------------------------------------------------------------------------
@@ -227,29 +255,35 @@ class Reader:
         self.model = model
         self.least = GAIN_LEAST if len(model.one) else GAIN_FIRST
         self.known: dict[str, list[tuple[int, float]]] = {}
-        self.cost = functools.lru_cache(maxsize=1 << 17)(model.cost)
+
+    def prepare(self, words, block: int = 4096) -> None:
+        """Learn the gains of words: all that their inverses cost, once each and at once."""
+        if len(self.known) > 400_000:
+            self.known.clear()
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        for s in range(0, len(new), block):
+            part, texts, place = new[s:s + block], [], {}
+            backs = []
+            for w in part:
+                found = undo_all(w)
+                backs.append(found)
+                for t in (w, *(back for _, back in found)):
+                    if t not in place:
+                        place[t] = len(texts)
+                        texts.append(t)
+            cost = np.round(self.model.costs(texts), 9).tolist()
+            for w, found in zip(part, backs):
+                own = cost[place[w]]
+                gains = [(k, round(own - cost[place[back]], 9)) for k, back in found]
+                if (lost := w.count("\ufffd")) and 6.0 * lost >= self.least:
+                    gains.insert(0, (LOST, 6.0 * lost))
+                self.known[w] = [(k, min(g, GAIN_MOST)) for k, g in gains if g >= self.least]
 
     def gains(self, word: str) -> list[tuple[int, float]]:
         """(chain, gain in nats) of every chain whose inverse of the word is likelier than the word."""
-        found = self.known.get(word)
-        if found is None:
-            own, found, seen = self.cost(word), [], {}
-            for k in range(1, len(CHAINS)):
-                back = undo(word, k)
-                if back is None:
-                    continue
-                if k == LOST:
-                    gain = 6.0 * word.count("�")
-                else:
-                    if back not in seen:
-                        seen[back] = self.cost(back)
-                    gain = own - seen[back]
-                if gain >= self.least:
-                    found.append((k, min(gain, GAIN_MOST)))
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        if word not in self.known:
+            self.prepare([word])
+        return self.known[word]
 
     def posterior(self, words: list[str], prior: np.ndarray) -> tuple[dict[int, float], dict[str, float], float]:
         """Of a record: probability of each chain that any word speaks for, of each garbled word, and the best log odds.
@@ -295,6 +329,7 @@ def repair(text: str, reader: Reader, prior: np.ndarray, level: float = 0.5) ->
     used: Counter = Counter()
     garbled = lost = 0
     for turn in range(3):
+        reader.prepare(words_of(text))
         total: dict[int, float] = {}
         for w in words_of(text):
             for k, gain in reader.gains(w):
@@ -334,6 +369,7 @@ def _learn(rows: DataFrame, model: CharModel, prior: np.ndarray) -> tuple[CharMo
         chains: dict[str, np.ndarray] = {}
         clean: dict[str, float] = {}
         for pdf in batches:
+            reader.prepare(w for words in pdf["words"] for w in words)
             for key, words, own in zip(pdf["key"], pdf["words"], pdf["prior"]):
                 words = list(words)
                 p = priors.of(key, own)
@@ -395,11 +431,18 @@ class Priors:
         return found
 
 
-def _add(sums: list[np.ndarray], clean: dict[str, float]) -> None:
-    for w, n in clean.items():
-        if n > 0:
-            for s, at in zip(sums, grams(w)):
-                np.add.at(s, at, n)
+def _add(sums: list[np.ndarray], clean: dict[str, float], block: int = 20_000) -> None:
+    """Count the characters, pairs and triples of words, each word as often as it says, and empty the words."""
+    kept = [(w, n) for w, n in clean.items() if n > 0]
+    for s in range(0, len(kept), block):
+        words, n = [w for w, _ in kept[s:s + block]], np.array([n for _, n in kept[s:s + block]])
+        c, b, a, first = _codes(words)
+        weight = np.repeat(n, np.diff(np.r_[first, len(c)]))
+        for total, at in zip(sums, (_h3(a, b, c), _h2(b, c), c & (SINGLES - 1))):
+            total += np.bincount(at, weight, len(total))
+        border = np.array([BORDER])
+        sums[1][_h2(border, border)] += n.sum()
+        sums[2][BORDER] += n.sum()
     clean.clear()
 
 
@@ -430,10 +473,10 @@ def garbled_texts(df: DataFrame, id: str, text: str, source: str | None, rounds:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, priors = Reader(model), Priors(prior)
         for pdf in batches:
-            out = []
-            for ident, key, t, mine in zip(pdf["id"], pdf["key"], pdf["text"], pdf["prior"]):
+            out, found = [], pdf["text"].map(words_of)
+            reader.prepare(w for words in found for w in words)
+            for ident, key, t, mine, words in zip(pdf["id"], pdf["key"], pdf["text"], pdf["prior"], found):
                 p = priors.of(key, mine)
-                words = words_of(t)
                 _, _, odds = reader.posterior(words, p)
                 if odds <= log(level / (1 - level)):
                     continue
