@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.runtime import join_hot, join_sized, materialize
+from lumenfold.runtime import discard, join_hot, join_sized, materialize
 
 #: Cubes per side of a block of space that one task links.
 BLOCK = 16
@@ -134,7 +134,7 @@ def pivot_rounds(edges: DataFrame, salt: int = 0) -> DataFrame:
     first). Rounds go on until no edge between unassigned nodes is left.
     """
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("n"))
-    done = None
+    done, written = None, []
     live = edges.select("a", "b")
     while True:
         least = live.groupBy("a").agg(F.min(order("b")).alias("best"))
@@ -143,14 +143,18 @@ def pivot_rounds(edges: DataFrame, salt: int = 0) -> DataFrame:
         taken = live.join(pivots.withColumnRenamed("pivot", "b"), "b", "left_semi").groupBy("a").agg(F.min(order("b")).alias("first")).select(F.col("a").alias("node"), F.col("first.n").alias("pivot"))
         assigned = materialize(taken.unionByName(pivots.select(F.col("pivot").alias("node"), "pivot")), "assigned")
         done = assigned if done is None else done.unionByName(assigned)
+        written.append(assigned)
         gone = assigned.select("node")
         rest = materialize(live.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"), "live")
         # nodes that lost all their neighbours are pivots of their own
         lone = live.select(F.col("a").alias("node")).distinct().join(gone, "node", "left_anti").join(rest.select(F.col("a").alias("node")), "node", "left_anti")
         done = done.unionByName(lone.select("node", F.col("node").alias("pivot")))
+        written.append(rest)
         live = rest
         if live.isEmpty():
-            return materialize(done, "pivots")
+            out = materialize(done, "pivots")
+            discard(*written)
+            return out
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -163,20 +167,25 @@ def fold_linked(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     The clusters become nodes of a smaller graph, which is pivot-clustered in turn; every
     level leaves a fraction of the nodes.
     """
-    level = 0
+    level, spent = 0, []
     while True:
         left = assigned.select(F.col("node").alias("a"), F.col("pivot").alias("pa"))
         right = assigned.select(F.col("node").alias("b"), F.col("pivot").alias("pb"))
         e = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).where("a <> b").distinct()
         edges = materialize(e, "folded")
         if edges.isEmpty():
+            discard(edges, *spent)
             return assigned
         level += 1
-        up = pivot_rounds(materialize(both_ways(edges), "both"), level).select(F.col("node").alias("pivot"), F.col("pivot").alias("top"))
+        both = materialize(both_ways(edges), "both")
+        tops = pivot_rounds(both, level)
+        up = tops.select(F.col("node").alias("pivot"), F.col("pivot").alias("top"))
         # nodes that only the edges name, and those assigned before
         known = assigned.join(up, "pivot", "left").select("node", F.coalesce("top", "pivot").alias("pivot"))
         new = up.join(assigned.select(F.col("node").alias("pivot")), "pivot", "left_anti").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
-        assigned = materialize(known.unionByName(new), "assigned")
+        last, assigned = assigned, materialize(known.unionByName(new), "assigned")
+        discard(both, tops, *([last] if level > 1 else []), *spent)
+        spent = [edges]
 
 
 def _gap(a: str, b: str) -> Column:
@@ -217,8 +226,11 @@ def decide(points: DataFrame, pairs: DataFrame, step: float, levels: int = 6, bl
         near = materialize(near.select("a", "b", F.col("sa.part").alias("pa"), F.col("sb.part").alias("pb"), (apart <= square).alias("linked"), ((F.col("sa.m") == 1) & (F.col("sb.m") == 1)).alias("single")), "near-parts")
         yes = materialize(near.where("linked").select("a", "b").distinct(), "decided")
         found = yes if found is None else found.unionByName(yes)
-        open_pairs = materialize(near.where("not linked and not single").select("a", "b", "pa", "pb").join(yes, ["a", "b"], "left_anti"), "open-parts")
+        still = materialize(near.where("not linked and not single").select("a", "b", "pa", "pb").join(yes, ["a", "b"], "left_anti"), "open-parts")
+        discard(near, *([open_pairs] if level > 1 else []))
+        open_pairs = still
         if open_pairs.isEmpty():
+            discard(mine, nodes, still)
             return found
     part = part_at(levels)
     sites = mine.select(part.alias("part"), "x", "y", "z").distinct()
@@ -248,8 +260,9 @@ class CellClusters:
         self.points = materialize(with_cubes(usable_points(df, id, coord), step), "points")
         self.links = materialize(cube_links(self.points, step), "links")
         self.cubes = materialize(self.points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "cubes")
-        sure = self.links.where("sure")
-        self.pivots = pivot_rounds(materialize(both_ways(sure), "both"))
+        both = materialize(both_ways(self.links.where("sure")), "both")
+        self.pivots = pivot_rounds(both)
+        discard(both)
 
     def members(self) -> DataFrame:
         """(id, pivot): every point in the cluster of the closest pivot among those its cube is linked to."""
@@ -279,13 +292,17 @@ class CellClusters:
         open_pairs = self.links.where("not sure").select("a", "b") \
             .join(of.select(F.col("node").alias("a"), F.col("pivot").alias("pa")), "a").join(of.select(F.col("node").alias("b"), F.col("pivot").alias("pb")), "b").where("pa <> pb").select("a", "b")
         open_pairs = materialize(open_pairs, "open")
+        spent = [top, open_pairs]
         if not open_pairs.isEmpty():
-            more = materialize(decide(self.points, open_pairs, self.step), "decided")
-            of = fold_linked(materialize(of, "tops"), more)
-            of = self.cubes.join(of, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
+            more, tops = materialize(decide(self.points, open_pairs, self.step), "decided"), materialize(of, "tops")
+            last = fold_linked(tops, more)
+            spent += [more, tops, last]
+            of = self.cubes.join(last, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
         of = materialize(self.cubes.join(of, "node"), "cube-tops")
+        discard(*(t for t in spent if t is not self.pivots))
         roots = materialize(of.groupBy("pivot").agg(F.sum("n").alias("size"), F.min("least").alias("root_id")).where(F.col("size") >= least).select("pivot", "root_id"), "roots")
         labels = materialize(of.join(roots, "pivot").select("node", "n", "root_id"), "labels")
+        discard(of, roots)
         return join_hot(self.points.select("node", "id"), labels, "node", "n").select("root_id", "id")
 
 

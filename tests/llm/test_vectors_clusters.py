@@ -211,3 +211,19 @@ def test_crowded_cubes_a_step_apart(spark, apart):
     a[7], b[9] = [0.25, 0.3, 0.3], [0.25 + apart, 0.3, 0.3]
     got = groups_of(spark, np.vstack([a, b]))
     assert len({r for r, _ in got}) == (1 if apart == 3.0 else 2) and len(got) == 80000
+
+
+def test_step_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from lumenfold.runtime import shared_dir
+
+    folder = f"{shared_dir(spark)}/lumenfold"
+    names = lambda: {n.rpartition("-")[0] for n in os.listdir(folder)}
+    count = lambda: len(os.listdir(folder)) if os.path.isdir(folder) else 0
+    before = count()
+    rng = np.random.default_rng(3)
+    p = np.vstack([np.cumsum(rng.normal(0, 1.2, (200, 3)), axis=0), rng.uniform(-40, 40, (200, 3))])
+    assert groups_of(spark, p) == brute_groups(p, 3.0, 5)
+    # what the result and further calls read stays: points, links, cubes, pivots, labels
+    assert count() - before <= 6, names()
