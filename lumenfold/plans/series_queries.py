@@ -231,3 +231,32 @@ def drift_sql(window: int, kind: str) -> str:
         recent AS (SELECT event_type, i - (n - {window}) AS i, x, {window} AS n FROM one WHERE i >= n - {window}), old AS (SELECT event_type, i, x, n - {window} AS n FROM one WHERE i < n - {window}),
         {_dfa_sql('one', 'w')}, {_dfa_sql('recent', 'r')}, {_dfa_sql('old', 'o')}
         SELECT w.alpha, r.alpha AS recent_alpha, o.alpha AS baseline_alpha FROM alpha_w w JOIN alpha_r r USING (event_type) JOIN alpha_o o USING (event_type)"""
+
+
+def brent_sql(states: str, again: bool) -> str:
+    """Brent's detector stepped by recursion over `states` (key, i from 0, st): every step with the length of the cycle it closes, until the first one or (again) to the end."""
+    return f"""WITH RECURSIVE st AS ({states}), r AS (SELECT key, 0::BIGINT AS i, 1::BIGINT AS power, 0::BIGINT AS lam, st AS ck, 0::BIGINT AS hit FROM st WHERE i = 0
+      UNION ALL SELECT r.key, st.i, CASE WHEN st.st = r.ck THEN 1 WHEN r.lam + 1 = r.power THEN 2 * r.power ELSE r.power END, CASE WHEN st.st = r.ck OR r.lam + 1 = r.power THEN 0 ELSE r.lam + 1 END,
+        CASE WHEN st.st = r.ck OR r.lam + 1 = r.power THEN st.st ELSE r.ck END, CASE WHEN st.st = r.ck THEN r.lam + 1 ELSE 0 END
+      FROM r JOIN st ON st.key = r.key AND st.i = r.i + 1 {'' if again else 'WHERE r.hit = 0'})"""
+
+
+_POINTS = """WITH p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+  c AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS chord FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))"""
+_PAIRS = """WITH m AS (SELECT c_nationkey AS nation, date_trunc('month', o_orderdate) AS month, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+  r AS (SELECT nation, month, ln(cents / 1e6) AS r FROM m), mu AS (SELECT nation, avg(r) AS m, row_number() OVER (ORDER BY nation) - 1 AS asset FROM r GROUP BY nation),
+  cov AS (SELECT a.nation AS i, b.nation AS j, covar_pop(a.r, b.r) AS c FROM r a JOIN r b USING (month) GROUP BY ALL),
+  pair AS (SELECT x.asset AS a, y.asset AS b, x.m AS ma, y.m AS mb, v.c AS va, w.c AS vb, u.c AS vab FROM mu x JOIN mu y ON x.asset < y.asset
+    JOIN cov v ON v.i = x.nation AND v.j = x.nation JOIN cov w ON w.i = y.nation AND w.j = y.nation JOIN cov u ON u.i = x.nation AND u.j = y.nation),
+  w AS (SELECT *, vb * ma - vab * mb AS wa, va * mb - vab * ma AS wb FROM pair),
+  best AS (SELECT *, (wa * ma + wb * mb) / sqrt(wa * wa * va + wb * wb * vb + 2 * wa * wb * vab) AS sharpe FROM w WHERE wa > 0 AND wb > 0 ORDER BY sharpe DESC LIMIT 1)"""
+SQL |= {
+    "vascular": _POINTS + " SELECT label, round(avg(2 / chord), 6) AS mean_tortuosity, 0.0::DOUBLE AS branch_density FROM c GROUP BY label",
+    "nerve": _POINTS + " SELECT label, round(sum(chord) / ((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z))), 6) AS fiber_length_density, 0.0::DOUBLE AS branch_density FROM c GROUP BY label",
+    "cycle_detect": brent_sql("SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS i, cents % 3 AS st FROM (SELECT event_type, date_trunc('hour', ts) AS hour, "
+                              "sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL)", False)
+    + " SELECT key AS event_type, max(hit) > 0 AS detected, nullif(max(hit), 0) AS cycle_len, max(i) FILTER (WHERE hit > 0) AS at_index FROM r GROUP BY key",
+    "portfolio_k2": _PAIRS + """ SELECT round(sharpe, 6) AS sharpe, a AS asset, round(wa / (wa + wb), 6) AS weight FROM best
+      UNION ALL SELECT round(sharpe, 6), b, round(wb / (wa + wb), 6) FROM best""",
+}
+BEST_PAIR_SQL = _PAIRS + " SELECT round(sharpe, 6) AS sharpe FROM best"

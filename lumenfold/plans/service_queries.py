@@ -13,6 +13,7 @@ from lumenfold.operators import ledger as L
 from lumenfold.operators import text_to_sql as T
 from lumenfold.plans.relational import SQL as RELATIONAL_SQL
 from lumenfold.plans.relational import views
+from lumenfold.plans.series_queries import BEST_PAIR_SQL, brent_sql
 from lumenfold.plans.series_queries import SQL as SERIES_SQL
 from lumenfold.plans.series_queries import drift_sql, hourly
 from lumenfold.plans.vector_queries import COS, L2, WITH_Q, embeddings, mmr_sql, query_vector
@@ -344,3 +345,10 @@ SQL |= {
     "t2s_validator_matrix": "SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(q.replace("'", "''"), str(k < 3).lower()) for k, q in enumerate(T2S_CASES)) + ") t(sql, accepted)",
     "stream_sliding": RELATIONAL_SQL["sliding_avg"],
 }
+SQL |= {
+    "agent_allocate": BEST_PAIR_SQL,
+    "stream_cycle_state": brent_sql("SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, event_id % 3 AS st, event_id FROM events", True)
+    + " SELECT r.key, event_id AS ord, hit AS cycle_len FROM r JOIN st USING (key, i) WHERE hit > 0",
+    "schema_context": """SELECT * FROM (VALUES ('nation(n_nationkey int, n_name string, n_regionkey int)'),
+      ('orders(o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string)'), ('region(r_regionkey int, r_name string)')) t(line)""",
+}

@@ -219,3 +219,4 @@ SQL |= {
     "fetch_hits": WITH_Q + f"SELECT vec_id, label, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id, label, {COS} AS d FROM e) ORDER BY d, vec_id LIMIT 10",
 }
 SQL["scout_mmr"] = mmr_sql(12, 0.5, "vec_id, rank, round(relevance, 6) + 0.0 AS relevance")
+SQL["scout_label_coverage"] = mmr_sql(50, 0.2, "count(*) AS picks, count(DISTINCT label) AS labels") + " JOIN embeddings USING (vec_id)"

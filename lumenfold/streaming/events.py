@@ -49,10 +49,10 @@ class CycleState(StatefulProcessor):
             power, lam, checkpoint = self.state.get()
             d = CycleDetector(self.hamming, power, lam, None if checkpoint is None else bytes(checkpoint))
         found = []
-        for pdf in rows:
-            for o, s in sorted(zip(pdf["ord"], pdf["state"])):
-                if n := d.feed(bytes(s)):
-                    found.append((key[0], o, n))
+        # in order across the Arrow batches of a key, whatever their size
+        for o, s in sorted((int(o), bytes(s)) for pdf in rows for o, s in zip(pdf["ord"], pdf["state"])):
+            if n := d.feed(s):
+                found.append((key[0], o, n))
         self.state.update((d.power, d.lam, d.checkpoint))
         yield pd.DataFrame(found, columns=["key", "ord", "cycle_len"])
 
