@@ -131,3 +131,11 @@ SQL: dict[str, str] = {
       label AS (SELECT id, min(root) AS root_id FROM reach GROUP BY id)
       SELECT root_id, id FROM label WHERE root_id IN (SELECT root_id FROM label GROUP BY root_id HAVING count(*) >= 5)""",
 }
+SQL["p4_groups"] = SQL["p4_found"].rsplit("SELECT root_id, id FROM label", 1)[0].rstrip() + """,
+      g AS (SELECT root_id, id FROM label WHERE root_id IN (SELECT root_id FROM label GROUP BY root_id HAVING count(*) >= 5)),
+      mean AS (SELECT root_id, count(*) AS size, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g JOIN pts USING (id) GROUP BY root_id),
+      near_mean AS (SELECT root_id, id, row_number() OVER (PARTITION BY root_id ORDER BY sqrt(pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2)), id) AS r FROM g JOIN pts USING (id) JOIN mean USING (root_id)),
+      typical AS (SELECT root_id, list(id ORDER BY r) AS typical FROM near_mean WHERE r <= 3 GROUP BY root_id),
+      kind AS (SELECT DISTINCT id, coalesce(replace(lower(trim(regexp_replace(cell_type, '[\\s_\\-]+', ' ', 'g'))), ' ', '-'), '') AS kind FROM vbg_cells),
+      kinds AS (SELECT root_id, '{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}' AS kinds FROM (SELECT root_id, kind, count(*) AS n FROM g JOIN kind USING (id) GROUP BY ALL) GROUP BY root_id)
+      SELECT root_id, size, typical, kinds FROM mean JOIN typical USING (root_id) JOIN kinds USING (root_id)"""
