@@ -28,15 +28,22 @@ def extract_sql(response: str) -> str:
     return (m.group(1) if m else response).strip().rstrip(";").strip()
 
 
-def validate(spark: SparkSession, sql: str) -> str | None:
-    """None for one read-only query that the session can analyse, else what is wrong with it."""
+def validate(spark: SparkSession, sql: str, allowed: str = "select") -> str | None:
+    """None for one read-only query that the session can analyse, else what is wrong with it.
+
+    With allowed="select_insert_update" an INSERT or UPDATE that parses passes too; it is not analysed.
+    """
     word = re.match(r"\s*\(*\s*([A-Za-z]+)", sql)
-    if not word or word.group(1).upper() not in ("SELECT", "WITH", "VALUES"):
+    write = allowed == "select_insert_update" and word is not None and word.group(1).upper() in ("INSERT", "UPDATE")
+    if not word or not write and word.group(1).upper() not in ("SELECT", "WITH", "VALUES"):
         return "not a query"
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         return f"does not parse: {str(e).splitlines()[0][:200]}"
+    if write:
+        kind = plan.getClass().getSimpleName()
+        return None if kind in ("InsertIntoStatement", "UpdateTable") else f"{kind} is not allowed"
     text = plan.toString()
     if any(x.getClass().getName().split(".")[-1].endswith("Command") for x in _nodes(plan)) or re.search(r"InsertInto|CreateTable|DropTable|Delete|Update|Merge", text.split("\n", 1)[0]):
         return "not read-only"
@@ -66,12 +73,16 @@ class SqlAnswer:
 
 
 def text_to_sql(session, question: str, tables: list[str] | None = None, attempts: int | None = None) -> SqlAnswer:
-    """SQL for a question, validated and never run; a rejected draft is tried again with the reason."""
+    """SQL for a question, validated (and on request reviewed by the reasoner) and never run; a rejected draft is tried again with the reason."""
     context, problem = schema_context(session.spark, tables), ""
-    tries = attempts or int(session.config_get("t2s_max_attempts"))
+    tries = attempts or int(session.config_get("text_to_sql_max_attempts"))
+    allowed = str(session.config_get("text_to_sql_allowed_statements"))
     for k in range(tries):
         draft = extract_sql(session.reason(f"Write one SELECT statement. Question: {question}" + (f"\nThe last try failed: {problem}" if problem else ""), context))
-        problem = validate(session.spark, draft)
+        problem = validate(session.spark, draft, allowed)
+        if problem is None and session.config_get("text_to_sql_use_review"):
+            said = session.reason(f"Review this statement for the question below. Answer OK, or what is wrong.\n{draft}\nQuestion: {question}", context).strip()
+            problem = None if said.upper().startswith("OK") else f"review: {said[:200]}"
         if problem is None:
             return SqlAnswer(draft, "validated", k)
     return SqlAnswer(None, f"rejected: {problem}", tries - 1)
@@ -80,7 +91,7 @@ def text_to_sql(session, question: str, tables: list[str] | None = None, attempt
 def sql_agent(session, question: str, tables: list[str] | None = None, retries: int = 2, auto_execute: bool = False) -> SqlAnswer:
     """text_to_sql, and on request the query's first rows (a limited DataFrame)."""
     answer = text_to_sql(session, question, tables, retries + 1)
-    if answer.generated_sql and auto_execute:
+    if answer.generated_sql and auto_execute and validate(session.spark, answer.generated_sql) is None:  # statements that write are never run here
         answer.result = session.spark.sql(answer.generated_sql).limit(int(session.config_get("max_result_rows")))
         answer.execution_status = "executed"
     return answer

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
+import urllib.request
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,9 +17,40 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenfold.operators import search as S
 from lumenfold.operators.ledger import Ledger
 
+def _text(v: object) -> bool:
+    return isinstance(v, str) and "\0" not in v
+
+
+def _path(v: object) -> bool:
+    return _text(v) and ".." not in re.split(r"[/\\\\]", v)
+
+
+def _flag(v: object) -> bool:
+    return isinstance(v, bool)
+
+
 #: key -> (default, check)
 CONFIG: dict[str, tuple[object, Callable[[object], bool]]] = {
-    "agent_partial_reasoning_fail": (False, lambda v: isinstance(v, bool)),
+    # fixed values: the names, ranges and defaults that callers of the surveyed system use
+    "reasoning_plugin": ("", _path),
+    "http_url": ("", _path),
+    "http_token": ("", _text),
+    "http_model": ("", _text),
+    "http_allow_plaintext": (False, _flag),
+    "http_embed_url": ("", _path),
+    "http_embed_model": ("", _text),
+    "http_think": ("", _text),
+    "http_think_provider": ("", _text),
+    "http_native_url": ("", _path),
+    "http_num_ctx": (0, lambda v: isinstance(v, int) and 0 <= v <= 1048576),
+    "text_to_sql_max_attempts": (2, lambda v: isinstance(v, int) and 1 <= v <= 10),
+    "text_to_sql_allowed_statements": ("select", lambda v: v in ("select", "select_insert_update")),
+    "text_to_sql_use_review": (False, _flag),
+    "enterprise_lib": ("", _path),
+    "enterprise_ledger_key": ("", _text),
+    "enterprise_require_signature": (False, _flag),
+    "agent_partial_reasoning_fail": (False, _flag),
+    # settings of this engine
     "default_k": (10, lambda v: isinstance(v, int) and v > 0),
     "default_seed": (42, lambda v: isinstance(v, int)),
     "diffusion": (2, lambda v: isinstance(v, int) and 1 <= v <= 32),
@@ -32,8 +65,6 @@ CONFIG: dict[str, tuple[object, Callable[[object], bool]]] = {
     "queue_batch": (85, lambda v: isinstance(v, int) and v > 0),
     "queue_stale_secs": (600, lambda v: isinstance(v, int) and v > 0),
     "reasoning_timeout_ms": (30000, lambda v: isinstance(v, int) and v > 0),
-    "t2s_max_attempts": (2, lambda v: isinstance(v, int) and 1 <= v <= 10),
-    "t2s_review": (False, lambda v: isinstance(v, bool)),
     "walk": (0.5, lambda v: isinstance(v, (int, float)) and 0 <= v <= 1),
 }
 
@@ -57,6 +88,15 @@ def stub_reasoner(prompt: str) -> str:
     return f"[{hashlib.blake2b(prompt.encode(), digest_size=4).hexdigest()}] {prompt.splitlines()[0][:120]}" if prompt else ""
 
 
+def _post(url: str, token: str, plain: bool, body: dict, timeout_ms: int) -> dict:
+    """The JSON answer of a service to a JSON request; without encryption only where that is allowed."""
+    if not url.startswith("https://") and not (plain and url.startswith("http://")):
+        raise ValueError("the address must begin with https:// (or http:// where http_allow_plaintext is set)")
+    head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), head), timeout=timeout_ms / 1000) as answer:
+        return json.loads(answer.read())
+
+
 @dataclass
 class Diversify:
     enabled: bool = False
@@ -107,6 +147,17 @@ class Session:
     def embed(self, text: str) -> list[float]:
         return self.embedder(text)
 
+    def use_http(self) -> None:
+        """Reason and embed by the services that the settings name, where they name any."""
+        plain = bool(self.config_get("http_allow_plaintext"))
+        if url := self.config_get("http_url"):
+            extra = {"num_ctx": n} if (n := self.config_get("http_num_ctx")) else {}
+            extra |= {"think": t} if (t := self.config_get("http_think")) else {}
+            self.reasoner = lambda prompt: _post(url, self.config_get("http_token"), plain, {"model": self.config_get("http_model"), "messages": [{"role": "user", "content": prompt}]} | extra,
+                                                 int(self.config_get("reasoning_timeout_ms")))["choices"][0]["message"]["content"]
+        if embed_url := self.config_get("http_embed_url"):
+            self.embedder = lambda text: _post(embed_url, self.config_get("http_token"), plain, {"model": self.config_get("http_embed_model"), "input": text}, int(self.config_get("reasoning_timeout_ms")))["data"][0]["embedding"]
+
     def explain(self, prompt: str, context: str = "") -> dict:
         """{text, reasoning_step_failed}: a failing reasoner is reported instead of raised where the setting says so."""
         try:

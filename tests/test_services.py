@@ -168,3 +168,57 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 24
     Q.embed_stream(stream.select("id", F.col("key").alias("text"), "ts"), "id", "text", lambda t: [1.0], str(tmp_path / "emb"), str(tmp_path / "cp2"), "ts", "2 days").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "emb")).count() == 24
+
+
+def test_statements_that_write_need_the_setting_and_review_can_reject(spark, small):
+    from lumenfold.operators import text_to_sql as T
+    from lumenfold.plans.relational import views
+    from lumenfold.session import Session
+
+    views(spark, small)
+    assert T.validate(spark, "INSERT INTO nation VALUES (1)") == "not a query"
+    assert T.validate(spark, "INSERT INTO nation VALUES (1)", "select_insert_update") is None
+    assert T.validate(spark, "UPDATE nation SET n_name = 'x'", "select_insert_update") is None
+    assert T.validate(spark, "DELETE FROM nation", "select_insert_update") == "not a query"
+    said = iter(["SELECT n_name FROM nation", "it lacks the key", "SELECT n_nationkey FROM nation", "OK"])
+    s = Session(spark, reasoner=lambda p: next(said))
+    s.config_set("text_to_sql_use_review", True)
+    r = T.text_to_sql(s, "keys of nations", ["nation"])
+    assert r.generated_sql == "SELECT n_nationkey FROM nation" and r.retry_count == 1
+    for key, bad in (("text_to_sql_allowed_statements", "drop"), ("http_num_ctx", -1), ("reasoning_plugin", "/a/../b")):
+        with pytest.raises(ValueError):
+            s.config_set(key, bad)
+    s.config_set("http_url", "http://localhost:1/x")
+    s.use_http()
+    with pytest.raises(ValueError):
+        s.reason("no plaintext")
+
+
+def test_resets_and_vanished_rows(spark, tmp_path):
+    g = L.Ledger(spark, str(tmp_path / "l"), key=b"k")
+    g.report(1, "positive")
+    g.report(2, "negative")
+    g.flush()
+    g.reset_hard()
+    h = L.Ledger(spark, g.path, key=b"k")
+    h.load()
+    assert h.truth == [] and h.shadow == [] and h.verify()["ok"]
+    first, second = L.Ledger(spark, g.path, key=b"k"), L.Ledger(spark, g.path, key=b"k")
+    stale = second.rows()
+    second.rows = lambda: stale.limit(4)  # as read before the other writer came
+    last = stale.count()
+    first.append(["a"], L.AUDIT)
+    second.rows = lambda: stale.where(F.col("id") <= last)
+    with pytest.raises(RuntimeError):
+        second.append(["b"], L.AUDIT)
+
+
+def test_shown_rows_are_kept_away_from(spark):
+    from lumenfold.session import Session
+
+    df = spark.createDataFrame([(k, [1.0, k / 100]) for k in range(50)] + [(99, [0.8, 0.6])], "id bigint, v array<double>")
+    s = Session(spark)
+    s.diversify_enable()
+    first = [r.id for r in s.search(df, "id", "v", [1.0, 0.0], 5).collect()]
+    second = [r.id for r in s.search(df, "id", "v", [1.0, 0.0], 5).collect()]
+    assert first == [0, 1, 2, 3, 4] and not set(first) & set(second) and s.overhead_p99_us() > 0
