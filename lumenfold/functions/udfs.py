@@ -198,15 +198,24 @@ def _int8(x) -> dict:
     return {"scale": s, "codes": (np.sign(a) * np.floor(np.abs(a) / s + 0.5)).astype(int).tolist() if s else [0] * len(a)}
 
 
+def _by_length(col: pd.Series) -> list[tuple[int, np.ndarray]]:
+    """(length, places) of the values that are there, for each length."""
+    there = np.flatnonzero(col.notna().to_numpy())
+    sizes = np.fromiter((len(x) for x in col.iloc[there]), dtype=np.int64, count=len(there))
+    return [(int(n), there[sizes == n]) for n in np.unique(sizes)]
+
+
 def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes | None, y: bytes | None) -> int | None:
-        if x is None or y is None:
-            return None
-        if len(x) != len(y) or not x:
+    out = pd.Series([None] * len(a), dtype=object)
+    a, b = a.reset_index(drop=True), b.reset_index(drop=True)
+    a = a.where(b.notna(), None)
+    for n, at in _by_length(a):
+        x, y = a.iloc[at], b.iloc[at]
+        if not n or (y.map(len) != n).any():
             raise ValueError("packed vectors differ in length or are empty")
-        return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+        bits = np.frombuffer(b"".join(x), dtype=np.uint8) ^ np.frombuffer(b"".join(y), dtype=np.uint8)
+        out.iloc[at] = np.bitwise_count(bits).reshape(-1, n).sum(axis=1, dtype=np.int64)
+    return out
 
 
 # ---- binary codec -------------------------------------------------------------------------------
@@ -214,23 +223,34 @@ def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
 def encode_packed(v: Column) -> Column:
     """array -> bytes: u16 length, u16 zero, float32 each, little endian."""
     def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda x: None if x is None else np.array([len(x), 0], dtype="<u2").tobytes() + np.asarray(x, dtype="<f4").tobytes())
+        out = [None] * len(col)
+        for n, at in _by_length(col):
+            rows = np.empty((len(at), 4 + 4 * n), dtype=np.uint8)
+            rows[:, :4] = np.array([n, 0], dtype="<u2").view(np.uint8)
+            if n:
+                rows[:, 4:] = np.stack(col.iloc[at].to_numpy()).astype("<f4").view(np.uint8).reshape(len(at), -1)
+            for k, row in zip(at.tolist(), rows):
+                out[k] = row.tobytes()
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "binary")(v)
 
 
 def decode_packed(b: Column) -> Column:
     """bytes with or without the header -> array<float>; malformed bytes raise an error."""
-    def one(x: bytes | None) -> np.ndarray | None:
-        if x is None:
-            return None
-        if len(x) >= 8 and len(x) == 4 + 4 * int.from_bytes(x[:2], "little") and x[2:4] == b"\0\0":
-            return np.frombuffer(x[4:], dtype="<f4")
-        if not x or len(x) % 4:
-            raise ValueError("malformed vector")
-        return np.frombuffer(x, dtype="<f4")
-
-    return F.pandas_udf(lambda col: col.map(one), "array<float>")(b)
+    def run(col: pd.Series) -> pd.Series:
+        out = [None] * len(col)
+        for n, at in _by_length(col):
+            if not n or n % 4:
+                raise ValueError("malformed vector")
+            rows = np.frombuffer(b"".join(col.iloc[at]), dtype=np.uint8).reshape(-1, n)
+            head = np.array([(n - 4) // 4 & 0xFFFF, 0], dtype="<u2").view(np.uint8)
+            headed = (rows[:, :4] == head).all(axis=1) & (n >= 8) & ((n - 4) // 4 <= 0xFFFF)
+            for k, h, x in zip(at.tolist(), headed.tolist(), rows.view("<f4")):
+                out[k] = x[1:] if h else x
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<float>")(b)
 
 
 __all__ = ["ARRAY_FUNCTIONS", "V", "array_function", "array_udf", "decode_packed", "encode_packed", "fingerprints", "ordered_series", "register"]

@@ -1,4 +1,4 @@
-"""Every registered query of the core runs on the smallest tables; those with SQL match it."""
+"""A sample of the core's registered queries matches its SQL on the smallest tables; the driver compares all of them."""
 
 import duckdb
 import pandas as pd
@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from lumenfold.plans import registry
 
 SAMPLE = ("agg_basic", "cube", "join_asof", "join_range", "knn_cosine", "knn_join", "dfa_by_event_type", "spectral_entropy", "vec_hamming", "vec_int8_codes", "p3_rolling", "p3_found", "ledger_chain",
-          "queue_status_view", "session_users", "win_rows_frame", "boxcount_by_event_type", "simhash_bits")
+          "queue_status_view", "session_users", "win_rows_frame", "boxcount_by_event_type", "simhash_bits",
+          "p2_rules", "scout_mmr", "agent_recommend_diverse", "ledger_hmac", "ledger_verify_gap", "queue_vanished", "portfolio_k2", "cycle_detect", "vascular", "vec_packed_roundtrip")
 
 
 def canon(df):
