@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vector as V
-from lumenfold.runtime import materialize
+from lumenfold.runtime import join_sized, materialize
 
 METRICS = {"cosine": V.cosine_distance_to, "l2": lambda v, q: V.l2_distance(v, V.lit_vector(q)), "ip": lambda v, q: V.negative_inner_product(v, V.lit_vector(q))}
 
@@ -191,6 +191,33 @@ def mmr(df: DataFrame, id: str, vec: str, query: list[float], k: int, lam: float
     return df.sparkSession.createDataFrame(found, f"id {kind}, rank int, relevance double").withColumnRenamed("id", id)
 
 
+def mmr_groups(df: DataFrame, id: str, group: str, vec: str, query: list[float], k: int, lam: float = 0.5) -> DataFrame:
+    """(group, id, rank, relevance): the diverse choice of `mmr` in every group of rows at once.
+
+    Each round is a partial aggregation over all rows, which are joined with the picks of
+    their group so far; no group is gathered in a task. Groups of fewer than k rows give all
+    of them; rows without a vector or a group are never picked, of repeated ids at most one is.
+    """
+    rows = df.where(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(id).alias("i"), F.col(vec).cast("array<double>").alias("v"))
+    rows = materialize(rows.withColumn("rel", F.lit(1.0) - V.cosine_distance_to(F.col("v"), query)), "mmr-rows")
+    picks = None
+    for rank in range(1, k + 1):
+        if picks is None:
+            left, worst = rows, F.lit(0.0)
+        else:
+            left = join_sized(rows, picks, ["g"]).where(~F.array_contains(F.transform("picks", lambda p: p["i"]), F.col("i")))
+            worst = F.array_max(F.transform("picks", lambda p: V.cosine_similarity(F.col("v"), p["v"])))
+        score = F.round(F.lit(lam) * F.col("rel") - F.lit(1 - lam) * worst, 12)
+        best = left.groupBy("g").agg(F.min_by(F.struct("i", "v", "rel"), F.struct((-score).alias("s"), F.col("i"))).alias("best")).select("g", F.array("best").alias("new"))
+        if picks is None:
+            found = best.select("g", F.col("new").alias("picks"))
+        else:
+            found = picks.join(best, "g", "left").select("g", F.concat("picks", F.coalesce("new", F.slice("picks", 1, 0))).alias("picks"))
+        picks = materialize(found, "mmr-picks")
+    out = picks.select("g", F.posexplode("picks").alias("pos", "p"))
+    return out.select(F.col("g").alias(group), F.col("p.i").alias(id), (F.col("pos") + 1).alias("rank"), F.col("p.rel").alias("relevance"))
+
+
 def fetch_rows(df: DataFrame, id: str, hits: DataFrame, drop: list[str]) -> DataFrame:
     """The rows of the hits (a bounded top-k), without the columns `drop`."""
     return df.drop(*drop).join(F.broadcast(hits), id)

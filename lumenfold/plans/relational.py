@@ -126,6 +126,27 @@ _frame("json_object_agg", lambda t: t("nation").groupBy("n_regionkey").agg(F.to_
 _frame("pivot", lambda t: t("events").groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.count(F.lit(1))).na.fill(0),
        "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY user_id")
 
+_frame("agg_approx", lambda t: t("orders").groupBy("o_orderpriority").agg(
+    (F.abs(F.approx_count_distinct("o_custkey", 0.02) / F.countDistinct("o_custkey") - 1) < 0.1).alias("distinct_close"),
+    F.percentile_approx("o_totalprice", 0.5, 10000).between(F.percentile("o_totalprice", 0.48), F.percentile("o_totalprice", 0.52)).alias("median_close")),
+    "SELECT o_orderpriority, true AS distinct_close, true AS median_close FROM orders GROUP BY o_orderpriority")
+_frame("join_json_key", lambda t: t("nation").select("n_name", F.to_json(F.struct(F.col("n_nationkey").alias("k"))).alias("j")).alias("x").join(
+    t("customer"), F.get_json_object("x.j", "$.k").cast("int") == F.col("c_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+
+
+def _saved(t) -> DataFrame:
+    """A table made by a query, to which the rows of another are appended."""
+    spark, path = t("nation").sparkSession, f"{shared_dir(t('nation').sparkSession)}/lumenfold/saved-{uuid.uuid4().hex}"
+    name = "saved_" + uuid.uuid4().hex
+    t("nation").createOrReplaceTempView(f"n_{name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' AS SELECT n_nationkey AS id, n_name AS name FROM n_{name} WHERE n_regionkey < 2")
+    spark.sql(f"INSERT INTO {name} SELECT n_nationkey + 100, n_name FROM n_{name} WHERE n_regionkey >= 2")
+    return spark.table(name)
+
+
+_frame("ctas_append", _saved, "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey >= 2")
+
 # ---- windows, order, limit, sets
 _same("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
 _same("win_rank_dense", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS d FROM lineitem")

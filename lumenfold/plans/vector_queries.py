@@ -165,6 +165,12 @@ def scout_label_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return picks.join(e.select("vec_id", "label"), "vec_id").agg(F.count(F.lit(1)).alias("picks"), F.countDistinct("label").alias("labels"))
 
 
+def scout_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The diverse choice as an aggregate: four rows of every label."""
+    picks = S.mmr_groups(embeddings(spark, folder), "vec_id", "label", "embedding", query_vector(spark, folder), 4, 0.5)
+    return picks.select("label", "vec_id", "rank", _r(F.col("relevance")).alias("relevance"))
+
+
 def search_debug(spark: SparkSession, folder: str) -> DataFrame:
     one = embeddings(spark, folder).select("vec_id", E().cast("array<double>").alias("v"))
     r = U.array_function("search_debug")(F.col("v"), F.lit(20), F.lit(30))
@@ -190,7 +196,7 @@ def _knn_sql(distance: str, k: int, where: str = "", by: str = "vec_id") -> str:
 
 
 QUERIES |= {f.__name__: f for f in (knn_cosine, knn_l2_top1, knn_join, hybrid_cohort_knn, hybrid_scan_pos, trajectory_knn, cross_modal_knn, feature_negatives_l2,
-                                    hamming_prefilter_rerank, knn_repulsed, fetch_hits, scout_mmr, scout_label_coverage, search_debug)}
+                                    hamming_prefilter_rerank, knn_repulsed, fetch_hits, scout_mmr, scout_label_coverage, scout_groups, search_debug)}
 _DELTA = """WITH q AS (SELECT list_transform(list_zip(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), lambda x: x[1] - x[2]) AS q
   FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1), e AS (SELECT vec_id, embedding::DOUBLE[] AS e, q FROM embeddings, q)
 """
@@ -220,3 +226,17 @@ SQL |= {
 }
 SQL["scout_mmr"] = mmr_sql(12, 0.5, "vec_id, rank, round(relevance, 6) + 0.0 AS relevance")
 SQL["scout_label_coverage"] = mmr_sql(50, 0.2, "count(*) AS picks, count(DISTINCT label) AS labels") + " JOIN embeddings USING (vec_id)"
+
+
+def _groups_sql(k: int, lam: float) -> str:
+    sim = "list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e, p.e)))"
+    steps = [WITH_Q + ", c AS MATERIALIZED (SELECT label, vec_id, e, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS rel FROM e)",
+             f"p1 AS MATERIALIZED (SELECT label, vec_id, e, rel, 1 AS rank FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY round({lam} * rel, 12) DESC, vec_id) = 1)"]
+    for r in range(2, k + 1):
+        steps.append(f"""n{r} AS (SELECT c.label, c.vec_id, any_value(c.e) AS e, any_value(c.rel) AS rel, round({lam} * any_value(c.rel) - (1 - {lam}) * max({sim}), 12) AS score
+          FROM c JOIN p{r - 1} p USING (label) WHERE c.vec_id NOT IN (SELECT vec_id FROM p{r - 1}) GROUP BY c.label, c.vec_id),
+          p{r} AS MATERIALIZED (SELECT * FROM p{r - 1} UNION ALL SELECT label, vec_id, e, rel, {r} FROM n{r} QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1)""")
+    return ", ".join(steps) + f" SELECT label, vec_id, rank, round(rel, 6) + 0.0 AS relevance FROM p{k}"
+
+
+SQL["scout_groups"] = _groups_sql(4, 0.5)

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.conf.get("lumenfold.shared.dir", None)
     if not conf:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="lumenfold-")
         atexit.register(shutil.rmtree, conf, True)
