@@ -26,7 +26,8 @@ def sliding_means(stream: DataFrame, at: str, value: str, width: str = "1 hour",
 
 
 def sessions(stream: DataFrame, at: str, key: str, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
-    s = stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap)).agg(F.count(F.lit(1)).alias("n"))
+    # session_window joins rows that are exactly its gap apart; here a gap of that length begins a session
+    s = stream.withWatermark(at, late).groupBy(key, F.session_window(at, f"{gap} -1 microsecond")).agg(F.count(F.lit(1)).alias("n"))
     return s.select(key, F.col("session_window.start").alias("start"), "n")
 
 
@@ -71,12 +72,24 @@ def cycles(stream: DataFrame, key: str, order: str, state: str, hamming: int = 0
 
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into an in-memory table, and return it."""
+    """Run a stream over what is there now into a table of the shared folder, and return it; it is also the view `name`.
+
+    The tasks write the rows, so the driver holds none. In complete mode a batch replaces the one before.
+    """
     import uuid
 
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    path, written = f"{shared_dir(spark)}/lumenfold/stream-{uuid.uuid4().hex}", {}
+
+    def write(batch: DataFrame, k: int) -> None:
+        at = f"{path}/{'all' if mode == 'complete' else k}"
+        batch.write.mode("overwrite").parquet(at)  # a batch that is run again replaces itself
+        written[at] = k
+
+    q = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.schema(df.schema).parquet(*written) if written else spark.createDataFrame([], df.schema)
+    out.createOrReplaceTempView(name)
+    return out
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:

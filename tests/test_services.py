@@ -170,6 +170,24 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "emb")).count() == 24
 
 
+def test_streams_keep_their_rows_out_of_the_driver(spark, tmp_path):
+    rows = [(k, k % 5, datetime(2024, 1, 1 + k // 20, k % 20)) for k in range(60)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "id bigint, user bigint, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    (tmp_path / "none").mkdir()
+    stream, none = (E.read_stream(spark, str(tmp_path / x), "id bigint, user bigint, ts timestamp") for x in ("in", "none"))
+    # three batches: of complete ones the last counts, of appended ones all
+    found = E.run_to_table(spark, E.sessions(stream, "ts", "user", "6 hours", "9 days"), "t_sessions", "complete")
+    assert sorted((r.user, r.start, r.n) for r in found.collect()) == sorted((u, datetime(2024, 1, d, u), 4) for u in range(5) for d in (1, 2, 3))
+    every = E.run_to_table(spark, stream.select("id", "ts"), "t_every")
+    assert sorted(r.id for r in every.collect()) == list(range(60)) == sorted(r.id for r in spark.table("t_every").collect())
+    apart = E.run_to_table(spark, E.sessions(stream, "ts", "user", "5 hours", "9 days"), "t_apart", "complete")
+    assert apart.count() == 60  # rows exactly the gap apart are two sessions, as in SQL
+    assert found.inputFiles() and len(every.inputFiles()) >= 3
+    empty = E.run_to_table(spark, E.sessions(none, "ts", "user"), "t_none", "complete")
+    assert empty.columns == ["user", "start", "n"] and empty.count() == 0
+
+
 def test_statements_that_write_need_the_setting_and_review_can_reject(spark, small):
     from lumenfold.operators import text_to_sql as T
     from lumenfold.plans.relational import views
